@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import tune, utf8
+from weirflow.llm.common import Scratch, tune, utf8
 
 #: Bytes hashed at once; positions within must fit in the low bits of a key.
 SEGMENT = 1 << 21
@@ -238,25 +238,34 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _on_row(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Texts (k, d, text) with facts of (k2, d2): by key as well as digest, so copies of one text spread; used twice, shuffled once."""
+    return rows.join(facts, rows["k"].eqNullSafe(facts["k2"]) & (rows["d"] == facts["d2"])).drop("k2", "d2")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, span: int = 400, gram: int = 200) -> DataFrame:
     """key, n_bytes, n_removed, spans (maximal removed runs), kept (remaining bytes) of each row.
 
     Removed is each byte covered by a ``span``-byte string that also starts anywhere else in the table.
     """
     tune(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("d", F.unhex(F.md5(F.col("text").cast("binary"))))
     long = F.octet_length("text") >= span
-    found = _anchor_rows(rows.where(long), gram, span).repartition("h").groupBy("h", "d", "place").agg(F.lit(1).alias("one"))
-    again = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").groupBy("d").agg(F.collect_list(F.struct("h", "place")).alias("found"))
+    found = scratch.write(_anchor_rows(rows.where(long), gram, span))
+    # places are told apart by a 64-bit hash here, so that counts combine before the shuffle
+    place = F.xxhash64("d", "place")
+    often = found.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h")
+    again = found.join(often, "h").groupBy("d").agg(F.collect_set(F.struct("h", "place")).alias("found"))
     copies = rows.where(long).groupBy("d").agg(F.count("*").alias("copies"), F.min("k").alias("k"))
     chosen = again.join(copies, "d").select(F.col("k").alias("k2"), F.col("d").alias("d2"), "found")
-    first = rows.join(chosen, rows["k"].eqNullSafe(chosen["k2"]) & (rows["d"] == chosen["d2"])).select("d", "text", "found")
+    first = _on_row(rows, chosen).select("d", "text", "found")
     places = _surroundings(first, gram, span)
     spans = _reached(places.repartition("h").sortWithinPartitions("h"), span).groupBy("d").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    per_row = rows.where(long).select("k", "d").distinct().join(copies.select("d", "copies"), "d").join(spans, "d", "left")
-    per_row = per_row.where("copies > 1 or spans is not null").select(F.col("k").alias("k2"), F.col("d").alias("d2"), (F.col("copies") > 1).alias("whole"), "spans")
-    marked = rows.join(per_row, rows["k"].eqNullSafe(per_row["k2"]) & (rows["d"] == per_row["d2"]), "left")
+    known = copies.join(spans, "d", "left").select("d", (F.col("copies") > 1).alias("whole"), "spans").where("whole or spans is not null")
+    per_row = rows.select("k", "d").distinct().join(known, "d", "left").select(F.col("k").alias("k2"), F.col("d").alias("d2"), "whole", "spans")
+    marked = _on_row(rows, per_row)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))), T.StructField("kept", T.BinaryType())])
     pair = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
