@@ -41,6 +41,8 @@ FRONT = 1 << 20
 LEAVES = 8
 #: Rows of buckets that are joined at once.
 BLOCK_ROWS = 200_000
+#: Links to a file, and so to a task, when they are merged.
+ROUND_ROWS = 1_000_000
 
 
 def fingerprint(raw: bytes, words: int = 4) -> int:
@@ -247,18 +249,20 @@ def trie_links(prints: DataFrame, budget: int = 4, *, slice_size: int = 50_000)
 def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every linked node; the root is the least node of its component.
 
-    Each round points nodes at their least neighbour and contracts the links along the pointers, so the
-    links at least halve; every round's tables are written, and the pointers composed at the end.
+    Each round points nodes at their least neighbour and contracts the links along the pointers; every round's
+    tables are written, and the pointers composed at the end.  Links only get fewer, so their first number bounds
+    the files of every table.
     """
-    edges = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    files = max(1, -(-links.count() // ROUND_ROWS))
+    edges = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().coalesce(files))
     pointers: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("l")).select("l.*")
-        up = scratch.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("up")))
+        up = scratch.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("up")).coalesce(files))
         pointers.append(up)
         at_a = edges.join(up.toDF("a", "up_a"), "a").select("b", "up_a")
         moved = at_a.join(up.toDF("b", "up_b"), "b").where("up_a <> up_b")
-        next_edges = scratch.write(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct())
+        next_edges = scratch.write(moved.select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct().coalesce(files))
         scratch.drop(edges)
         edges = next_edges
     roots = None
@@ -279,16 +283,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = scratch.write(rooted.join(component, "root").select("fp", "component"))
+    classes = rooted.join(component, "root").select("fp", "component")
     return prints.join(classes, "fp").select(key, "fp", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 4, budget: int = 4) -> DataFrame:
     """``docs`` with one row of each component: one that has the component's least key."""
-    scratch = Scratch(docs.sparkSession)
     classes = near_duplicates(docs, key, text, words=words, budget=budget)
     least = classes.where(F.col(key).eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("fp").alias("fp"))
-    least = scratch.write(least)
     fp, own, k = free_name(docs, "fp", "fp_kept", "key_kept")
     marked = with_fingerprint(docs, text, words=words, name=fp)
     chosen = least.select(F.col("component").alias(k), F.col("fp").alias(own))
