@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import tune, utf8
+from weirflow.llm.common import Scratch, tune, utf8
 
 REACH = 32
 #: Bytes hashed at once.
@@ -104,7 +104,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bi
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
     chunks = chunk_rows(rows, bits=bits, least=least, most=most)
     often = chunks.groupBy("c1").count().where(F.col("count") > 1).select("c1")
-    held = chunks.join(often, "c1")
+    held = Scratch(docs.sparkSession).write(chunks.join(often, "c1"))
     order = F.struct(F.col("k"), F.col("x"), F.col("place"))
     first = held.groupBy("c1", "c2").agg(F.min(order).alias("first"))
     again = held.join(first, ["c1", "c2"]).where(order > F.col("first"))
