@@ -76,7 +76,7 @@ def _bit_table(seeds: DataFrame) -> Column:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, share: float = 0.8) -> DataFrame:
-    """One row for each text and item that overlap: keys, item, at (first word of the best run), matched, compared."""
+    """One row for each text and item that overlap: keys, item, word_at (first word of the best run), matched, compared."""
     seeds = benchmark_seeds(benchmark, item, item_text)
     table = _bit_table(seeds)
     k = [f"k{i}" for i in range(len(keys))]
@@ -105,7 +105,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: st
     runs = F.transform(inside, lambda s: F.struct(F.aggregate(F.slice("flags", s + reach + 1, F.col("compared")), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("doc_at") + s)).alias("minus_at")))
     best = hits.select(*k, "item", "compared", F.array_max(runs).alias("best")).where(F.col("best.matched") >= F.ceil(F.col("compared") * share))
     grouped = best.groupBy(*k, "item").agg(F.max(F.struct("best.matched", "best.minus_at", "compared")).alias("top"))
-    return grouped.select(*(F.col(n).alias(c) for c, n in zip(keys, k, strict=True)), F.col("item").alias(item), (-F.col("top.minus_at")).alias("at"), F.col("top.matched").alias("matched"), F.col("top.compared").alias("compared"))
+    return grouped.select(*(F.col(n).alias(c) for c, n in zip(keys, k, strict=True)), F.col("item").alias(item), (-F.col("top.minus_at")).alias("word_at"), F.col("top.matched").alias("matched"), F.col("top.compared").alias("compared"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

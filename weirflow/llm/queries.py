@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import chunks, decontaminate, language_id, merkle, mixing, repeats, sharding, simhash, tokencount, url_filter
+from weirflow.llm import chunks, decontaminate, language_id, merkle, mixing, repeats, sharding, simhash, sql, tokencount, url_filter
 
 #: Target shares in bytes; all other sources share OTHER_WEIGHT.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.05}
@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": sql.mixing(MIX_WEIGHTS, OTHER_WEIGHT), "op8_url_filter": sql.url_filter(URL_RULES), "op9_decontamination": sql.decontamination()}
