@@ -6,10 +6,11 @@ the benchmark in a join; around each hit the two word sequences are aligned and
 a run of ``window`` words (the whole item if it is shorter) that agrees in at
 least ``share`` of its positions is an overlap, whatever words were substituted.
 
-Before the join, positions are held against a bit table of the benchmark's
-hashes, so rows that can't match never leave the array they are in.  The table
-has a fixed size; a larger benchmark fills it and lets more rows through to the
-join, which stays exact.
+Before the join, words are held against a table of the benchmark's words and
+positions whose kept words are all in it against a bit table of the
+benchmark's hashes, so rows that can't match never leave the array they are in.
+Both tables have a fixed size; a larger benchmark fills them and lets more rows
+through to the join, which stays exact.
 
 Only DataFrame functions run.
 
@@ -32,6 +33,7 @@ from weirflow.llm.common import free_name
 MASKS = ((0, 1, 2, 5), (0, 1, 3, 6), (0, 2, 3, 7))
 MIN_WORDS = 8
 TABLE_BITS = 22
+WORD_BITS = 17
 
 
 def words_of(text: Column) -> Column:
@@ -75,13 +77,30 @@ def _bit_table(seeds: DataFrame) -> Column:
     return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")
 
 
+def _slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - WORD_BITS).cast("int")
+
+
+def _word_table(seeds: DataFrame) -> Column:
+    """Whether a benchmark word has a hash of a slot, for 2**WORD_BITS slots, as an array literal."""
+    slots = seeds.select(F.explode("item_words").alias("w")).select(_slot(F.xxhash64("w")).alias("slot")).distinct().collect()
+    table = ["0"] * (1 << WORD_BITS)
+    for r in slots:
+        table[r["slot"]] = "1"
+    return F.split(F.lit(",".join(table)), ",").cast("array<boolean>")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, share: float = 0.8) -> DataFrame:
     """One row for each text and item that overlap: keys, item, word_at (first word of the best run), matched, compared."""
     seeds = benchmark_seeds(benchmark, item, item_text)
     table = _bit_table(seeds)
     k = [f"k{i}" for i in range(len(keys))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keys, k, strict=True)), words_of(F.col(text)).alias("w")).where(F.size("w") >= MIN_WORDS)
+    known = _word_table(seeds)
     rows = rows.withColumn("ids", F.transform("w", lambda w: F.xxhash64(w)))
+    # ids of words that no item has become null; positions of the others are candidates of every mask
+    rows = rows.withColumn("ids", F.transform("ids", lambda h: F.when(known[_slot(h)], h)))
+    rows = rows.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("ids") - 1), lambda i: F.col("ids")[i].isNotNull()))
 
     def held(h: Column) -> Column:
         return reduce(lambda x, y: x & y, (F.getbit(table[_word(h, p)], _bit(h, p)) == 1 for p in (0, 1)))
@@ -89,7 +108,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, keys: list[str], text: st
     reach = window + max(m[-1] for m in MASKS)
 
     def found(m: int) -> Column:
-        return F.array_compact(F.transform(_hashes("ids", MASKS[m]), lambda h, i: F.when(held(h), F.struct(F.lit(m).alias("mask"), h.alias("h"), i.alias("doc_at")))))
+        full = F.filter("begins", lambda i: reduce(lambda x, y: x & y, (F.get("ids", i + o).isNotNull() for o in MASKS[m][1:])))
+        hashed = F.transform(full, lambda i: F.struct(F.lit(m).alias("mask"), F.xxhash64(*(F.col("ids")[i + o] for o in MASKS[m])).alias("h"), i.alias("doc_at")))
+        return F.filter(hashed, lambda s: held(s["h"]))
 
     first = F.greatest(F.col("doc_at") - reach, F.lit(0))
     candidates = rows.select(*k, "w", F.inline(F.concat(*map(found, range(len(MASKS)))))).select(*k, "mask", "h", "doc_at", first.alias("from"), F.slice("w", first + 1, F.lit(2 * reach + 1)).alias("near"))
