@@ -1,0 +1,131 @@
+import random
+from collections import Counter
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from weirflow.llm import chunks, repeats
+
+
+def brute(texts, span):
+    seen = Counter(t[i : i + span] for t in texts for i in range(len(t) - span + 1))
+    return [repeats.merge_spans([(i, i + span) for i in range(len(t) - span + 1) if seen[t[i : i + span]] > 1]) for t in texts]
+
+
+def in_memory(texts, gram, span):
+    size = np.array([len(t) for t in texts])
+    ends = np.cumsum(size)
+    owner, place, value = repeats.anchors(np.frombuffer(b"".join(texts), np.uint8), ends - size, ends, gram, span)
+    groups, out = {}, [[] for _ in texts]
+    for o, p, v in zip(owner.tolist(), place.tolist(), value.tolist(), strict=True):
+        groups.setdefault(v, []).append((o, p))
+    for places in groups.values():
+        if len(places) > 1:
+            left = [texts[o][max(0, p - (span - gram)) : p][::-1] for o, p in places]
+            right = [texts[o][p : p + span] for o, p in places]
+            for (o, p), (l, r) in zip(places, repeats.group_reach(left, right, span), strict=True):
+                if r:
+                    out[o].append((p - l, p + r))
+    return [repeats.merge_spans(x) for x in out]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([2, 3, 26]), st.sampled_from([(5, 12), (10, 20), (16, 30)]))
+def test_anchors_and_tree_find_all_repeats(seed, letters, sizes):
+    rng = random.Random(seed)
+    piece = lambda n: bytes(97 + rng.randrange(letters) for _ in range(rng.randrange(1, n)))
+    pool = [piece(60) for _ in range(5)]
+    texts = [b"".join(rng.choice(pool) if rng.random() < 0.6 else piece(30) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 10))]
+    assert in_memory(texts, *sizes) == brute(texts, sizes[1])
+
+
+def test_segments_meet_without_a_seam(monkeypatch):
+    rng = random.Random(1)
+    part = bytes(rng.randrange(256) for _ in range(300))
+    texts = [bytes(rng.randrange(256) for _ in range(700)) + part, part + bytes(rng.randrange(256) for _ in range(400))]
+    monkeypatch.setattr(repeats, "SEGMENT", 64)
+    assert in_memory(texts, 20, 40) == brute(texts, 40)
+
+
+def test_maximal_repeats_list_all_occurrences():
+    texts = [b"xxCOMMONaa", b"yxCOMMONab", b"zzCOMMONbb"]
+    left, right = [t[:2][::-1] for t in texts], [t[2:] for t in texts]
+    got = {(l, r, tuple(sorted(m))) for l, r, m in repeats.maximal_repeats(left, right, 6)}
+    assert got == {(0, 6, (0, 1, 2)), (1, 7, (0, 1))}
+
+
+def test_intervals_of_a_prefix_array():
+    assert sorted(repeats.intervals([0, 3, 1, 2], 1)) == [(1, 0, 3), (2, 2, 3), (3, 0, 1)]
+
+
+def test_removal_over_a_table(docs, corpus):
+    got = repeats.remove_repeats(docs, span=100, gram=50).collect()
+    texts = [(t or "").encode() for _, t in corpus]
+    want = Counter()
+    for (k, _), raw, runs in zip(corpus, texts, brute(texts, 100), strict=True):
+        edge = [0, *(x for r in runs for x in r), len(raw)]
+        want[(k, len(raw), sum(b - a for a, b in runs), tuple(runs), b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], tuple((s["from"], s["to"]) for s in r["spans"]), bytes(r["kept"])) for r in got) == want
+
+
+def test_empty_table(no_docs):
+    assert repeats.remove_repeats(no_docs).count() == 0
+    assert chunks.dedup_chunks(no_docs).count() == 0
+
+
+def chunks_of(raw, **options):
+    data = np.frombuffer(raw, np.uint8)
+    o = {"least": 32, "most": 512} | options
+    ends = chunks.chunk_ends(data, 0, len(raw), chunks.boundaries(data, 5), o["least"], o["most"])
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_chunks_cover_the_text_and_resist_insertions(seed):
+    rng = random.Random(seed)
+    raw = "".join(rng.choice(["wort ", "été ", "naïve ", "x", "\n", "longer-word "]) for _ in range(800)).encode()
+    cut = chunks_of(raw)
+    assert b"".join(cut) == raw
+    assert all(len(c) <= 512 for c in cut)
+    assert all(len(c) >= 32 for c in cut[:-1])
+    for c in cut:
+        c.decode()
+    at = len("".join(raw.decode()[:300]).encode())
+    changed = chunks_of(raw[:at] + b"inserted " + raw[at:])
+    assert sum(c in set(cut) for c in changed) >= len(cut) - 12
+
+
+def test_boundaries_do_not_depend_on_segments(monkeypatch):
+    rng = random.Random(2)
+    data = np.frombuffer(bytes(rng.randrange(32, 127) for _ in range(5000)), np.uint8)
+    whole = chunks.boundaries(data, 5)
+    monkeypatch.setattr(chunks, "SEGMENT", 97)
+    assert (chunks.boundaries(data, 5) == whole).all()
+
+
+def test_chunk_dedup_over_a_table(docs, corpus):
+    got = {(r["doc_id"], r["n_bytes"]): r for r in chunks.dedup_chunks(docs, run=60).collect()}
+    # the definition, by brute force
+    order = sorted({(k, t or "") for k, t in corpus}, key=lambda x: (x[0] is not None, x[0] or 0))
+    first = {}
+    hashes = {r["t"]: r["h"] for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
+    order.sort(key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]))
+    for k, t in order:
+        raw, p, runs, n = t.encode(), 0, [], 0
+        for c in chunks_of(raw):
+            if first.setdefault(c, (k, t, p)) != (k, t, p):
+                n += 1
+                if runs and runs[-1][1] == p:
+                    runs[-1][1] += len(c)
+                else:
+                    runs.append([p, p + len(c)])
+            p += len(c)
+        runs = [r for r in runs if r[1] - r[0] >= 60]
+        r = got[(k, len(raw))]
+        assert [(s["from"], s["to"]) for s in r["spans"]] == [tuple(x) for x in runs], (k, t[:40])
+        assert r["n_chunks_again"] == n
+        edge = [0, *(x for run in runs for x in run), len(raw)]
+        assert r["kept_text"].encode() == b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
+    assert sum(r["n_removed"] > 0 for r in got.values()) >= 4

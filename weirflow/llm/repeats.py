@@ -95,6 +95,8 @@ def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gram: int, s
         place.append(at + a)
         value.append(h[at])
     owner, place, value = np.concatenate(owner), np.concatenate(place), np.concatenate(value)
+    place, once = np.unique(place, return_index=True)  # windows of two segments may pick one place
+    owner, value = owner[once], value[once]
     return owner, place - starts[owner], value
 
 
