@@ -29,7 +29,7 @@ from weirflow.llm.common import free_name
 PART = 16.0
 ENTRIES = 72
 EMPTY_BYTES = 1
-MAX_SOURCES = 100_000
+MAX_SOURCES = 10_000
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -44,9 +44,8 @@ def source_rates(docs: DataFrame, weights: dict[str, float], other: float, text:
         raise ValueError(f"at most {MAX_SOURCES} sources can have a weight")
     bytes_of = F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(EMPTY_BYTES)).cast("long")
     held = docs.groupBy(pool(source, weights).alias("pool")).agg(F.sum(bytes_of).alias("pool_bytes"))
-    target = F.lit(float(other))
-    for name, weight in weights.items():
-        target = F.when(F.col("pool") == name, F.lit(float(weight))).otherwise(target)
+    known = F.create_map(*(F.lit(x) for name, weight in weights.items() for x in (name, float(weight)))) if weights else None
+    target = F.lit(float(other)) if known is None else F.coalesce(known[F.col("pool")], F.lit(float(other)))
     held = held.withColumn("weight", target)
     whole = Window.partitionBy(F.lit(0))  # over one row for each weight
     held = held.withColumns({"all_bytes": F.sum("pool_bytes").over(whole), "all_weight": F.sum("weight").over(whole)})
