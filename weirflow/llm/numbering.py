@@ -2,30 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import Scratch, free_name
 
+#: monotonically_increasing_id has the partition above these bits and the place in it below.
+PLACE_BITS = 33
+
 
 def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> tuple[DataFrame, int]:
     """``df`` with a gapless number from 0 in ascending ``order`` (nulls first), and how many rows there are.
 
-    Rows are range-partitioned and written once, so that partition ids stay fixed; a table of one row per
-    partition then gives each partition its first number.  Rows that tie on ``order`` share a partition and are
+    Rows are range-partitioned, sorted and written once with their partition and place in it; a table of one row
+    per partition then gives each partition its first number.  Rows that tie on ``order`` share a partition and are
     numbered in any order, which is harmless when they are equal.
     """
     scratch = Scratch(df.sparkSession)
-    pid, rank = free_name(df, "range_id", "rank_in_range")
-    ranged = scratch.write(df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in order)).withColumn(pid, F.spark_partition_id()))
-    sizes = sorted((r[pid], r["count"]) for r in ranged.groupBy(pid).count().collect())
+    (place,) = free_name(df, "place")
+    by = [F.col(c).asc_nulls_first() for c in order]
+    placed = scratch.write(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(place, F.monotonically_increasing_id()))
+    part = F.shiftright(place, PLACE_BITS)
+    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy(part.alias("part")).count().collect())
     first, total = [], 0
-    for part, count in sizes:
-        first.append((part, total))
+    for number, count in sizes:
+        first.append((number, total))
         total += count
     if not first:
-        return ranged.drop(pid).withColumn(name, F.lit(0).cast("long")), 0
-    starts = df.sparkSession.createDataFrame(first, f"`{pid}` int, `{name}` long")
-    ranked = ranged.withColumn(rank, F.row_number().over(Window.partitionBy(pid).orderBy(*(F.col(c).asc_nulls_first() for c in order))) - 1)
-    joined = ranked.join(F.broadcast(starts), pid)  # one row for each range partition
-    return joined.withColumn(name, F.col(name) + F.col(rank)).drop(pid, rank), total
+        return placed.drop(place).withColumn(name, F.lit(0).cast("long")), 0
+    own, start = free_name(placed, "part", "first_no")
+    starts = df.sparkSession.createDataFrame(first, f"`{own}` long, `{start}` long")
+    joined = placed.withColumn(own, part).join(F.broadcast(starts), own)  # one row for each range partition
+    row = F.col(start) + F.col(place).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return joined.withColumn(name, row).drop(own, start, place), total
