@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     firsts = rows.join(F.broadcast(after), F.col("k").eqNullSafe(F.col("first")))  # one row for each part
     firsts = firsts.groupBy("before", "k").agg(F.min(F.struct("x", "text")).alias("t"))
     ahead = firsts.select(F.col("before").alias("part"), F.lit(1).alias("ahead"), "k", "t.x", "t.text")
-    return rows.unionByName(ahead).repartition("part").sortWithinPartitions("part", "ahead", F.col("k").asc_nulls_first(), "x")
+    return rows.unionByName(ahead).repartitionById(parts + 1, F.col("part") + 1).sortWithinPartitions("part", "ahead", F.col("k").asc_nulls_first(), "x")
 
 
 def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", *, share: int = 4) -> DataFrame:
