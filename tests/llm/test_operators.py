@@ -9,9 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import prose
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, language_id, merkle, mixing, sharding, tokencount, url_filter
