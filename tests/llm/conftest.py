@@ -3,6 +3,7 @@ import random
 import pytest
 from llm_texts import prose
 
+
 @pytest.fixture(scope="session")
 def corpus():
     """(doc_id, text): copies, near copies, shared passages, nulls, empties, a long text, a repeated row, a null id."""
