@@ -70,5 +70,5 @@ def shard(docs: DataFrame, shards: int, order: list[str], *, seed: int = 1, shar
 
 
 def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the size that shards are measured by, UTF-8 bytes plus 16, and the text's CRC-32."""
-    return docs.withColumns({"size": (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"), "text_crc32": F.crc32(F.col(text).cast("binary"))})
+    """``docs`` with the size that shards are measured by, UTF-8 bytes plus 16, and the text's CRC-32; a null text has no bytes."""
+    return docs.withColumns({"size": (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long"), "text_crc32": F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))})
