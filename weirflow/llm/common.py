@@ -9,7 +9,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of whole texts that cross to a Python worker at once; bounds its memory.
 ARROW_ROWS = 256
@@ -96,8 +95,3 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def text_crc32(column) -> F.Column:
-    """Unsigned CRC-32 of a text's UTF-8 bytes."""
-    return F.crc32(F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary"))
