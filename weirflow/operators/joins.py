@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 from weirflow.operators.relation import Relation, millis
 from weirflow.plans.model import Join, JoinWindow
 
-#: Hot keys of an interval join are cut into slices of time when one side has this many rows a key or more.
-HOT_ROWS = 100_000
-
 
 class JoinError(ValueError):
     """A combination of kinds that has no join."""
@@ -44,7 +41,7 @@ def _pairs(joined: DataFrame) -> DataFrame:
     )
 
 
-def sliced(l: DataFrame, r: DataFrame, window: JoinWindow) -> tuple[DataFrame, DataFrame, list[str]]:
+def sliced(l: DataFrame, r: DataFrame, window: JoinWindow) -> tuple[DataFrame, DataFrame]:
     """Both sides with a slice of time beside the key, so that a hot key spreads over tasks.
 
     Slices are as long as the window; a left row goes to its own slice and to those its window reaches.
@@ -52,7 +49,7 @@ def sliced(l: DataFrame, r: DataFrame, window: JoinWindow) -> tuple[DataFrame, D
     width = max(window.before + window.upper, 1)
     slot = lambda c: F.floor(F.unix_millis(c) / width)
     left = l.withColumn("slice", F.explode(F.sequence(slot(F.col("l_ts") - millis(window.before)), slot(F.col("l_ts") + millis(window.upper)))))
-    return left, r.withColumn("slice", slot(F.col("r_ts"))), ["slice"]
+    return left, r.withColumn("slice", slot(F.col("r_ts")))
 
 
 def stream_stream(left: DataFrame, right: DataFrame, join: Join, *, slices: bool = False) -> DataFrame:
@@ -60,7 +57,7 @@ def stream_stream(left: DataFrame, right: DataFrame, join: Join, *, slices: bool
     l, r = _side(left, "l"), _side(right, "r")
     near = (F.col("l_key") == F.col("r_key")) & _in_window(join.window)
     if slices and join.how == "inner":
-        a, b, _ = sliced(l, r, join.window)
+        a, b = sliced(l, r, join.window)
         return _pairs(a.join(b.withColumnRenamed("slice", "r_slice"), near & (F.col("slice") == F.col("r_slice"))))
     if not join.eager or join.how == "inner":
         return _pairs(l.join(r, near, {"inner": "inner", "left": "left", "outer": "full_outer"}[join.how]))

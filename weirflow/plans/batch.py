@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weirflow.functions.xform import Pipeline
 from weirflow.operators.aggregates import aggregate, suppress
@@ -105,8 +104,3 @@ def named_store(topology: Topology, name: str) -> str:
     """The store of a table: its own name for it, or the entity's."""
     entity = topology.entities[name]
     return getattr(entity, "store", None) or name
-
-
-def entity_rows(df: DataFrame) -> DataFrame:
-    """key, value and ts in epoch milliseconds, for display."""
-    return df.select("key", "value", F.unix_millis("ts").alias("timestamp"))
