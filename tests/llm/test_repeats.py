@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -59,8 +60,9 @@ def test_intervals_of_a_prefix_array():
     assert sorted(repeats.intervals([0, 3, 1, 2], 1)) == [(1, 0, 3), (2, 2, 3), (3, 0, 1)]
 
 
-def test_removal_over_a_table(docs, corpus):
-    got = repeats.remove_repeats(docs, span=100, gram=50).collect()
+@pytest.mark.parametrize("most_places", [20_000, 2, 0])
+def test_removal_over_a_table(docs, corpus, most_places):
+    got = repeats.remove_repeats(docs, span=100, gram=50, most_places=most_places).collect()
     texts = [(t or "").encode() for _, t in corpus]
     want = Counter()
     for (k, _), raw, runs in zip(corpus, texts, brute(texts, 100), strict=True):

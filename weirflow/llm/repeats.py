@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,6 +197,25 @@ def _surroundings(texts: DataFrame, gram: int, span: int) -> DataFrame:
     return texts.select("d", "text", "found").mapInArrow(apply, "h long, d binary, place long, left binary, right binary")
 
 
+def _windows(texts: DataFrame, gram: int, span: int) -> DataFrame:
+    """(w1, w2, d, place, before): digest of each window around each anchor, and how far before the anchor it begins."""
+    reach = span - gram
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, found = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            data, starts, ends = utf8(batch.column(1))
+            for i, name in enumerate(names):
+                raw = memoryview(data[starts[i] : ends[i]].tobytes())
+                at = [(f["place"], o) for f in found[i] for o in range(min(reach, f["place"]) + 1) if f["place"] - o + span <= len(raw)]
+                digest = b"".join([xxhash.xxh3_128_digest(raw[p - o : p - o + span]) for p, o in at])
+                two = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                place, before = (np.array([x[j] for x in at], np.int64) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([name] * len(at), pa.binary()), pa.array(place), pa.array(before)], names=["w1", "w2", "d", "place", "before"])
+
+    return texts.select("d", "text", "found").mapInArrow(apply, "w1 long, w2 long, d binary, place long, before long")
+
+
 def _reached(places: DataFrame, span: int) -> DataFrame:
     """(d, from, to): repeated bytes of texts, from rows of _surroundings that lie together by anchor."""
 
@@ -245,10 +265,12 @@ def _on_row(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(facts, rows["k"].eqNullSafe(facts["k2"]) & (rows["d"] == facts["d2"])).drop("k2", "d2")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, span: int = 400, gram: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, span: int = 400, gram: int = 200, most_places: int = 20_000) -> DataFrame:
     """key, n_bytes, n_removed, spans (maximal removed runs), kept (remaining bytes) of each row.
 
     Removed is each byte covered by a ``span``-byte string that also starts anywhere else in the table.
+    An anchor of more than ``most_places`` places isn't sorted in one task: the windows around its places are counted by
+    their digests instead, which combines before the shuffle and gives the same bytes.
     """
     tune(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
@@ -258,13 +280,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     found = scratch.write(_anchor_rows(rows.where(long), gram, span))
     # places are told apart by a 64-bit hash here, so that counts combine before the shuffle
     place = F.xxhash64("d", "place")
-    often = found.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h")
-    again = found.join(often, "h").groupBy("d").agg(F.collect_set(F.struct("h", "place")).alias("found"))
+    often = found.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low < high")
+    often = scratch.write(often.select("h", (F.col("n") > most_places).alias("hot")))
+    again = found.join(often, "h").groupBy("d").agg(F.collect_set(F.struct("h", "place", "hot")).alias("found"))
     copies = rows.where(long).groupBy("d").agg(F.count("*").alias("copies"), F.min("k").alias("k"))
     chosen = again.join(copies, "d").select(F.col("k").alias("k2"), F.col("d").alias("d2"), "found")
-    first = _on_row(rows, chosen).select("d", "text", "found")
-    places = _surroundings(first, gram, span)
-    spans = _reached(places.repartition("h").sortWithinPartitions("h"), span).groupBy("d").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+
+    def first(hot: bool) -> DataFrame:
+        own = F.filter("found", lambda f: f["hot"] == hot)
+        return _on_row(rows, chosen.withColumn("found", own).where(F.size("found") > 0)).select("d", "text", "found")
+
+    places = _surroundings(first(False), gram, span)
+    reached = _reached(places.repartition("h").sortWithinPartitions("h"), span)
+    if not often.where("hot").isEmpty():
+        windows = _windows(first(True), gram, span)
+        start = F.xxhash64("d", F.col("place") - F.col("before"))
+        twice = windows.groupBy("w1", "w2").agg(F.min(start).alias("low"), F.max(start).alias("high")).where("low < high").select("w1", "w2")
+        hot = windows.join(twice, ["w1", "w2"]).groupBy("d", "place").agg(F.max("before").alias("most"), F.min("before").alias("least"))
+        reached = reached.unionByName(hot.select("d", (F.col("place") - F.col("most")).alias("from"), (F.col("place") - F.col("least") + span).alias("to")))
+    spans = reached.groupBy("d").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     known = copies.join(spans, "d", "left").select("d", (F.col("copies") > 1).alias("whole"), "spans").where("whole or spans is not null")
     per_row = rows.select("k", "d").distinct().join(known, "d", "left").select(F.col("k").alias("k2"), F.col("d").alias("d2"), "whole", "spans")
     marked = _on_row(rows, per_row)
