@@ -104,9 +104,11 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bi
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
     chunks = chunk_rows(rows, bits=bits, least=least, most=most)
     often = chunks.groupBy("c1").count().where(F.col("count") > 1).select("c1")
-    held = Scratch(docs.sparkSession).write(chunks.join(often, "c1"))
+    scratch = Scratch(docs.sparkSession)
+    held = scratch.write(chunks.join(often, "c1"))
     order = F.struct(F.col("k"), F.col("x"), F.col("place"))
-    first = held.groupBy("c1", "c2").agg(F.min(order).alias("first"))
+    # written, so that the join below reads plain exchanges, whose hot partitions Spark splits
+    first = scratch.write(held.groupBy("c1", "c2").agg(F.min(order).alias("first")))
     again = held.join(first, ["c1", "c2"]).where(order > F.col("first"))
     per_row = again.select("k", "x", "place", "size").distinct().groupBy("k", "x").agg(F.collect_list(F.struct("place", "size")).alias("again"))
     per_row = per_row.select(F.col("k").alias("k2"), F.col("x").alias("x2"), "again")
