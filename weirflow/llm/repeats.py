@@ -265,7 +265,7 @@ def _on_row(rows: DataFrame, facts: DataFrame) -> DataFrame:
     return rows.join(facts, rows["k"].eqNullSafe(facts["k2"]) & (rows["d"] == facts["d2"])).drop("k2", "d2")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, span: int = 400, gram: int = 200, most_places: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *, span: int = 400, gram: int = 200, most_places: int = 200_000) -> DataFrame:
     """key, n_bytes, n_removed, spans (maximal removed runs), kept (remaining bytes) of each row.
 
     Removed is each byte covered by a ``span``-byte string that also starts anywhere else in the table.
