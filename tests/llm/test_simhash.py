@@ -1,9 +1,11 @@
+import random
 import re
 
 import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import prose
 
 from weirflow.llm import simhash
 from weirflow.llm.common import Scratch
@@ -85,6 +87,16 @@ def test_near_duplicates_and_keeping_one(docs, corpus):
     assert {r["doc_id"] for r in kept} == set(least.values())
 
 
+def test_null_and_repeated_keys_do_not_merge_components(spark):
+    rng = random.Random(8)
+    a, b, *others = (prose(rng, 80) for _ in range(6))
+    rows = [*((None, t) for t in others), (5, a), (5, b), (9, b.upper()), (None, others[0])]
+    label = components(np.array([slow_fingerprint(t) for _, t in rows], np.uint64), 4).tolist()
+    assert len(set(label)) == 6  # four of null ids, a, and b with its copy
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([*((None, t) for t in others), (5, a), (5, b)], key=str)
+
+
 def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.keep_one(no_docs).columns == no_docs.columns

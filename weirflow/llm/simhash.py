@@ -275,24 +275,36 @@ def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 4, budget: int = 4) -> DataFrame:
-    """key, fp (signed long) and component: the least key that a chain of links reaches, its own included."""
+def _classes(docs: DataFrame, key: str, text: str, words: int, budget: int) -> DataFrame:
+    """key, fp, component and root: the least fingerprint of the component, which tells apart those of one least key."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(with_fingerprint(docs, text, words=words, keep=[key]))
     roots = contract(scratch.write(trie_links(prints, budget)), scratch)
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    classes = rooted.join(component, "root").select("fp", "component")
-    return prints.join(classes, "fp").select(key, "fp", "component")
+    classes = rooted.join(component, "root").select("fp", "component", "root")
+    return prints.join(classes, "fp").select(key, "fp", "component", "root")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 4, budget: int = 4) -> DataFrame:
+    """key, fp (signed long) and component: the least key that a chain of links reaches, its own included."""
+    return _classes(docs, key, text, words, budget).select(key, "fp", "component")
+
+
+def keep_least(docs: DataFrame, marked: DataFrame, classes: DataFrame, key: str, mark: str) -> DataFrame:
+    """One row of each root of ``classes`` (key, fp, root): one of the least key that isn't null, then of the least fp.
+
+    ``marked``: ``docs`` with the fp in the column ``mark``.
+    """
+    least = classes.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("fp").alias("own"))).alias("least"))
+    own, k = free_name(marked, "fp_kept", "key_kept")
+    chosen = least.select(F.col("least.k").alias(k), F.col("least.own").alias(own))
+    kept = marked.join(chosen, marked[key].eqNullSafe(chosen[k]) & (marked[mark] == chosen[own]))
+    return kept.dropDuplicates([key, mark]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 4, budget: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: one that has the component's least key."""
-    classes = near_duplicates(docs, key, text, words=words, budget=budget)
-    least = classes.where(F.col(key).eqNullSafe(F.col("component"))).groupBy("component").agg(F.min("fp").alias("fp"))
-    fp, own, k = free_name(docs, "fp", "fp_kept", "key_kept")
-    marked = with_fingerprint(docs, text, words=words, name=fp)
-    chosen = least.select(F.col("component").alias(k), F.col("fp").alias(own))
-    kept = marked.join(chosen, marked[key].eqNullSafe(chosen[k]) & (marked[fp] == chosen[own]))
-    return kept.dropDuplicates([key, fp]).select(*docs.columns)
+    """``docs`` with one row of each component, as keep_least chooses it; null and repeated keys don't merge components."""
+    (mark,) = free_name(docs, "fp")
+    return keep_least(docs, with_fingerprint(docs, text, words=words, name=mark), _classes(docs, key, text, words, budget), key, mark)
