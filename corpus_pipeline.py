@@ -10,11 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import decontaminate, language_id, mixing, queries as operators, sharding, simhash
+from weirflow.llm import decontaminate, language_id, mixing, queries as operators, sharding, shingles
 from weirflow.llm.common import Scratch
 
 #: A text goes if it has no letter, or if no language reaches this probability.
 MIN_SCORE = 0.3
+#: Near-duplicates share this much of their shingles, of so many words.
+MIN_SIMILARITY = 0.8
+SHINGLE_WORDS = 5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +29,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    return shingles.keep_one(docs, words=SHINGLE_WORDS, least=MIN_SIMILARITY)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
