@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from llm_texts import prose
 
 from weirflow.llm import chunks, repeats
 
@@ -129,3 +130,32 @@ def test_chunk_dedup_over_a_table(docs, corpus):
         edge = [0, *(x for run in runs for x in run), len(raw)]
         assert r["kept_text"].encode() == b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True))
     assert sum(r["n_removed"] > 0 for r in got.values()) >= 4
+
+
+def test_short_texts_and_lines_go_at_production_parameters(spark):
+    rng = random.Random(6)
+    short, tiny, line = prose(rng, 9)[:70], "tiny one", prose(rng, 12)[:90]
+    longer = [prose(rng, 60) for _ in range(2)]
+    ends = [chunks_of(t.encode()) for t in longer]
+    tail = next(c for c in ends[0] if 32 <= len(c) < 100).decode()
+    rows = [(1, short), (2, short), (3, short), (4, tiny), (5, tiny), (6, line), (7, line), (8, longer[0]), (9, tail), (10, longer[1]), (11, prose(rng, 20))]
+    got = {r["doc_id"]: r for r in chunks.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {k for k, r in got.items() if r["kept_text"] == ""}
+    assert gone == {2, 3, 5, 7, 9}
+    assert all(r["n_removed"] == (r["n_bytes"] if k in gone else 0) for k, r in got.items())
+
+
+def test_a_short_last_chunk_alone_stays(spark):
+    rng = random.Random(7)
+    end = b"the end"
+    for _ in range(500):
+        before = chunks_of(prose(rng, 60).encode())[0][-40:]  # a chunk ends after these bytes
+        one, two = (prose(rng, 30).encode() + before for _ in range(2))
+        if chunks_of(one + end)[-1] == end == chunks_of(two + end)[-1]:
+            break
+    else:
+        raise AssertionError("no such texts")
+    rows = [(1, (one + end).decode()), (2, (two + end).decode())]
+    got = chunks.dedup_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_chunks_again"] for r in got) == 1
+    assert sum(r["n_removed"] for r in got) == 0

@@ -8,7 +8,9 @@ so an insertion shifts no chunk beyond its surroundings.
 
 Chunks are deduplicated by a 128-bit digest over the whole table: the first, in
 the order of key, text hash and place, stays.  A later one goes if it lies in a
-run of such chunks of ``run`` bytes or more; shorter coincidences stay.
+run of such chunks of ``run`` bytes or more, or if the run is the whole text.
+By default ``run`` is ``least``: only the last chunk of a text can be shorter,
+and alone it is a coincidence of a few words, unless the text has no other.
 
 Counts are combined before the shuffle and only digests that occur twice join
 the chunks, so a hot chunk is a matter of a join that Spark splits.
@@ -98,8 +100,9 @@ def chunk_rows(texts: DataFrame, *, bits: int = 5, least: int = 32, most: int =
     return texts.select("k", "x", "text").mapInArrow(apply, schema)
 
 
-def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bits: int = 5, least: int = 32, most: int = 512, run: int = 100) -> DataFrame:
+def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bits: int = 5, least: int = 32, most: int = 512, run: int | None = None) -> DataFrame:
     """key, n_bytes, n_chunks_again (chunks seen before), n_removed, spans (removed runs) and kept_text of each row."""
+    run = least if run is None else run
     tune(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
     chunks = chunk_rows(rows, bits=bits, least=least, most=most)
@@ -128,7 +131,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bi
                         runs[-1][1] = p + n
                     else:
                         runs.append([p, p + n])
-                runs = [r for r in runs if r[1] - r[0] >= run]
+                runs = [r for r in runs if r[1] - r[0] >= run or r == [0, len(raw)]]
                 edge = [0, *(x for r in runs for x in r), len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))
                 spans.append([{"from": a, "to": b} for a, b in runs])
