@@ -39,7 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and thins documents to the target shares of their sources."""
-    return mixing.mix(docs, operators.MIX_WEIGHTS, other=operators.OTHER_WEIGHT).select(*docs.columns)
+    return mixing.mix(docs, operators.MIX_WEIGHTS, other=operators.OTHER_WEIGHT, by_text=True).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,6 +108,23 @@ def test_mixing_reaches_its_weights_and_shuffles(spark):
     assert ids == [r["doc_id"] for r in mixing.mix(docs, {"a": 1.0, "b": 1.0}).collect()]
 
 
+def test_pipeline_mixing_draws_apart_for_texts_of_one_id(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(21)
+    rows = [(None if i % 2 else 5, prose(rng, 20), "en", s) for i, s in enumerate(["src0", "src1", "src9", "src8"] * 300)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string")
+    n = Counter(r["text"] for r in c.mixed(spark, docs, "").collect())
+    size, kept = Counter(), Counter()
+    for _, text, _, s in rows:
+        size[s] += len(text)
+        kept[s] += len(text) * n[text]
+    assert n[rows[0][1]] % 2 == 0  # equal rows draw equal counts
+    for s, share in (("src0", 0.2 / 0.85), ("src1", 0.1 / 0.85)):  # by a source's share of the weights that have bytes
+        assert abs(kept[s] / sum(size.values()) - share) < 0.04
+    assert len({n[t] for _, t, _, s in rows if s == "src0"}) > 2
+
+
 def test_mixing_without_rows_or_weights(spark, no_docs):
     assert mixing.mix(no_docs, {"a": 1.0}).count() == 0
     docs = spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string")
