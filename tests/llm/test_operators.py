@@ -341,43 +341,61 @@ def words(t):
 
 def overlap(doc, item):
     n = min(13, len(item))
-    if len(item) < decontaminate.MIN_WORDS or len(doc) < decontaminate.MIN_WORDS:
-        return None
+    need = n if len(item) < 8 else int(np.ceil(n * 0.8))
     best = None
     for s in range(len(item) - n + 1):
         for p in range(-n + 1, len(doc)):
             m = sum(0 <= p + j < len(doc) and doc[p + j] == item[s + j] for j in range(n))
-            if m >= np.ceil(n * 0.8) and (best is None or (m, -p) > best):
+            if n and m >= need and (best is None or (m, -p) > best):
                 best = (m, -p)
     return best and (-best[1], best[0], n)
 
 
 def test_overlaps_against_brute_force(spark):
     rng = random.Random(12)
-    items = [(i, prose(rng, n)) for i, n in enumerate((7, 8, 13, 14, 40, 60))] + [(6, None), (7, ""), (8, "few")]
+    items = [(i, prose(rng, n)) for i, n in enumerate((7, 8, 13, 14, 40, 60, 5, 3))] + [(16, None), (17, ""), (18, "few"), (19, " -- ")]
     items.append((9, items[4][1]))
+    items += [(20 + i, prose(rng, 5) + " " + items[5][1]) for i in range(6)]  # a passage that many items share
     texts = []
-    for i in range(60):
+    for i in range(80):
         parts = prose(rng, rng.randrange(0, 60)).split()
-        passage = rng.choice(items[:6])[1].split()
+        passage = rng.choice(items[:8])[1].split()
         a = rng.randrange(0, max(1, len(passage) - 6))
         passage = passage[a : a + rng.randrange(6, 40)]
         for _ in range(rng.choice([0, 1, 2, 3, 6])):
             passage[rng.randrange(len(passage))] = "CHANGED"
         texts.append((i, " ".join(parts[:20] + passage + parts[20:]) if i % 5 else prose(rng, 80)))
-    texts += [(100, None), (101, ""), (102, "one two"), (None, items[4][1]), (3, texts[3][1])]
-    docs = spark.createDataFrame([(k, t, 1) for k, t in texts], "doc_id long, text string, item_id int")
+    texts += [(100, None), (101, ""), (102, "one two"), (None, items[4][1]), (3, texts[3][1]), (103, items[0][1]), (104, " ".join(items[1][1].split()[:7])), (105, items[7][1].upper()), (106, "a few words"), (107, "?!")]
+    long = prose(rng, 30_000).split()
+    texts.append((108, " ".join(long[:20_000]) + " " + items[3][1] + " " + " ".join(long[20_000:])))
+    docs = spark.createDataFrame([(k, t, 1, "x", 2) for k, t in texts], "doc_id long, text string, item_id int, digest string, w int")
     bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, doc_id string")
     got = decontaminate.overlaps(docs, bench, keys=["doc_id"]).collect()
     want = {(k, i): o for k, t in texts for i, x in items if (o := overlap(words(t), words(x)))}
     assert {(r["doc_id"], r["item_id"]): (r["word_at"], r["matched"], r["compared"]) for r in got} == want
-    assert len(got) == len(want) > 20
+    assert len(got) == len(want) > 60
+    assert {(103, 0), (104, 1), (105, 7), (106, 18), (108, 3)} <= set(want)
     kept = decontaminate.drop_contaminated(docs, bench)
     bad = {k for k, _ in want}
-    assert sorted((r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect() if r["text"]) == sorted((k, t) for k, t in texts if k not in bad and t)
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.where("doc_id is not null").collect()) == sorted((k, t or "") for k, t in texts if k is not None and k not in bad)
     assert kept.columns == docs.columns
 
 
+def test_decontamination_refuses_what_the_masks_do_not_serve(docs, spark):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for options in ({"window": 7}, {"window": 16}, {"share": 0.7}, {"share": 1.1}):
+        with pytest.raises(ValueError):
+            decontaminate.overlaps(docs, bench, keys=["doc_id"], **options)
+        with pytest.raises(ValueError):
+            decontaminate.drop_contaminated(docs, bench, **options)
+
+
+def test_decontamination_plans_are_small(docs, spark):
+    bench = spark.createDataFrame([(i, f"item {i} has some words of its own and {i * i} more of them") for i in range(300)], "item_id long, text string")
+    assert len(decontaminate.overlaps(docs, bench, keys=["doc_id"])._jdf.queryExecution().toString()) < 100_000
+    assert len(decontaminate.drop_contaminated(docs, bench)._jdf.queryExecution().toString()) < 100_000
+
+
 def test_decontamination_of_nothing(no_docs, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(no_docs, bench, keys=["doc_id"]).count() == 0

@@ -28,18 +28,19 @@ select doc_id, text, lang, source, n_chars, n_copies, unnest(range(n_copies))::i
 """.replace("generate_series(1, 1000000) g(part) where part <= parts", "unnest(range(1, parts + 1)) g(part)")
 
 
-def decontamination(window: int = 13, share: float = 0.8) -> str:
-    """All windows of all diagonals on which enough words agree, without any hashing."""
+def decontamination(window: int = 13, share: float = 0.8, short: int = 8) -> str:
+    """All windows of all diagonals on which enough words agree, without any hashing; items of under ``short`` words agree in all."""
     words = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')".format
     return f"""
-with d as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as p from (select doc_id, {words("text")} as w from documents) where len(w) >= {MIN_WORDS}),
-i as (select item_id, len(w) as n, least(len(w), {window}) as compared, unnest(w) as word, generate_subscripts(w, 1) - 1 as q from (select item_id, {words("text")} as w from benchmark) where len(w) >= {MIN_WORDS}),
-same as (select doc_id, item_id, n, compared, p - q as diagonal, q from d join i using (word)),
-lines as (select doc_id, item_id, n, compared, diagonal, list(q) as qs from same group by all having count(*) >= ceil(min(compared) * {share})),
-runs as (select doc_id, item_id, compared, diagonal + s as place, len(list_filter(qs, lambda x: x >= s and x < s + compared)) as matched
+with d as (select doc_id, row_number() over () as r, {words("text")} as w from documents),
+dw as (select doc_id, r, unnest(w) as word, generate_subscripts(w, 1) - 1 as p from d),
+i as (select item_id, len(w) as n, least(len(w), {window}) as compared, case when len(w) < {short} then len(w) else ceil(least(len(w), {window}) * {share}) end as need, unnest(w) as word, generate_subscripts(w, 1) - 1 as q from (select item_id, {words("text")} as w from benchmark)),
+same as (select doc_id, r, item_id, n, compared, need, p - q as diagonal, q from dw join i using (word)),
+lines as (select doc_id, r, item_id, n, compared, need, diagonal, list(q) as qs from same group by all having count(*) >= need),
+runs as (select doc_id, item_id, compared, need, diagonal + s as place, len(list_filter(qs, lambda x: x >= s and x < s + compared)) as matched
   from (select *, unnest(range(n - compared + 1)) as s from lines)),
-best as (select *, row_number() over (partition by doc_id, item_id order by matched desc, place) as r from runs where matched >= ceil(compared * {share}))
-select doc_id, item_id, place::int as word_at, matched::int as matched, compared::int as compared from best where r = 1
+best as (select *, row_number() over (partition by doc_id, item_id order by matched desc, place) as k from runs where matched >= need)
+select doc_id, item_id, place::int as word_at, matched::int as matched, compared::int as compared from best where k = 1
 """
 
 
