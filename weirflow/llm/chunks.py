@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, tune, utf8
+from weirflow.llm.common import Scratch, sliced, utf8
 
 REACH = 32
 #: Bytes hashed at once.
@@ -80,7 +80,7 @@ def chunk_rows(texts: DataFrame, *, bits: int = 5, least: int = 32, most: int =
     schema = T.StructType([texts.schema["k"], T.StructField("x", T.LongType()), *(T.StructField(n, T.IntegerType()) for n in ("place", "size")), *(T.StructField(n, T.LongType()) for n in ("c1", "c2"))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, starts, ends = utf8(batch.column(2))
             at = boundaries(data, bits)
             owner, place, size, digest = [], [], [], []
@@ -103,7 +103,6 @@ def chunk_rows(texts: DataFrame, *, bits: int = 5, least: int = 32, most: int =
 def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bits: int = 5, least: int = 32, most: int = 512, run: int | None = None) -> DataFrame:
     """key, n_bytes, n_chunks_again (chunks seen before), n_removed, spans (removed runs) and kept_text of each row."""
     run = least if run is None else run
-    tune(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
     chunks = chunk_rows(rows, bits=bits, least=least, most=most)
     often = chunks.groupBy("c1").count().where(F.col("count") > 1).select("c1")
@@ -120,7 +119,7 @@ def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bi
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_chunks_again", "n_removed")), T.StructField("spans", span), T.StructField("kept_text", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, starts, ends = utf8(batch.column(1))
             spans, kept, counts = [], [], []
             for i, again in enumerate(batch.column(2).to_pylist()):

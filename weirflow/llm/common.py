@@ -5,18 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of whole texts that cross to a Python worker at once; bounds its memory.
+#: Rows of whole texts that a Python worker takes at once; bounds its memory.
 ARROW_ROWS = 256
 
 
-def tune(spark: SparkSession) -> None:
-    """Sets the session's Arrow batch size to ARROW_ROWS, so that a batch of long texts fits in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds by bytes, in parts of ARROW_ROWS rows: what is made of a part at once stays small."""
+    for batch in batches:
+        for i in range(0, max(batch.num_rows, 1), ARROW_ROWS):
+            yield batch.slice(i, ARROW_ROWS)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,15 +39,32 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_open: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes, at its end, the tables of every Scratch that began within it; what is still wanted must be written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for scratch in _open.pop():
+            scratch.clear()
+
+
 class Scratch:
     """Tables written to shared storage; a lost executor costs no recomputation beyond them.
 
-    ``drop`` removes those that later steps no longer read; the rest go when the driver's Python ends.
+    ``drop`` removes those that later steps no longer read; the rest go at the end of ``released``, or when the
+    driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
-        atexit.register(self._clear)
+        if _open:
+            _open[-1].append(self)
+        atexit.register(self.clear)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{scratch_dir(self.spark)}/weirflow/{uuid.uuid4().hex}"
@@ -58,16 +79,18 @@ class Scratch:
         _delete(self.spark, path)
         self.paths.remove(path)
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        atexit.unregister(self.clear)
         for path in self.paths:
             try:
                 _delete(self.spark, path)
             except Exception:  # the session has ended before
-                return
+                break
+        self.paths = []
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts and ends of an Arrow string or binary column; a null has length zero."""
+    """Bytes, starts and ends of an Arrow string or binary column, or a slice of one; a null has length zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -77,7 +100,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if offsets is None or n == 0:
         return np.zeros(0, np.uint8), np.zeros(n, np.int64), np.zeros(n, np.int64)
     at = np.frombuffer(offsets, kind)[column.offset : column.offset + n + 1].astype(np.int64)
-    held = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    held = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    at -= at[0]
     start, end = at[:-1], at[1:].copy()
     if column.null_count:
         null = np.asarray(column.is_null())

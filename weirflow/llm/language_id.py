@@ -7,7 +7,11 @@ every text, in Arrow batches.
 
 Defined cases: a text that is null, empty or has no letter gets ``und`` and
 score 0; with no labelled text at all every text gets ``und``.  An input column
-named like an output column is replaced.  Equal texts get equal predictions.
+named like an output column is replaced, any other name may occur.  Equal texts
+get equal predictions, repeated rows too; keys are not read for a prediction,
+and only order the sample; every window of a very long text counts; of classes
+with equal probability the first in ascending order is taken; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import free_name, tune, utf8
+from weirflow.llm.common import free_name, sliced, utf8
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -143,12 +147,14 @@ class ByteCNN:
 def train_language_id(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", *, per_class: int = 500, windows_per_text: int = 2, max_classes: int = 256, epochs: int = 6, seed: int = 17) -> ByteCNN | None:
     """Fits the network on a bounded sample.
 
-    Bounds: the ``max_classes`` most frequent languages, ``per_class`` texts of each (those whose
-    hashed key is smallest) and ``windows_per_text`` windows of each text, spread over the whole of it.
+    Bounds: ``per_class`` texts of each language (those whose hashed key is smallest) and ``windows_per_text`` windows
+    of each text, spread over the whole of it.  More than ``max_classes`` languages are an error: none is left out.
     Rows whose language or text is null, or whose text has no letter, are not learned from.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"))
-    counts = rows.where("l is not null").groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_classes).collect()
+    counts = rows.where("l is not null").groupBy("l").count().limit(max_classes + 1).collect()
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} languages")
     if not counts:
         return None
     classes = sorted(r["l"] for r in counts)
@@ -179,7 +185,6 @@ def train_language_id(labelled: DataFrame, text: str = "text", lang: str = "lang
 
 def identify_language(docs: DataFrame, model: ByteCNN | None, text: str = "text", *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns and rows of ``docs`` with the predicted language and its probability."""
-    tune(docs.sparkSession)
     kept = docs.drop(*(c for c in docs.columns if c.lower() in (lang_col.lower(), score_col.lower())))
     (letter,) = free_name(kept, "has_letter")
     kept = kept.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
@@ -187,7 +192,7 @@ def identify_language(docs: DataFrame, model: ByteCNN | None, text: str = "text"
     schema = T.StructType([*kept.drop(letter).schema.fields, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             known = np.asarray(batch.column(batch.schema.get_field_index(letter))).astype(bool)
             lang, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             if model is not None and known.any():

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, free_name, tune, utf8
+from weirflow.llm.common import Scratch, free_name, sliced, utf8
 from weirflow.llm.simhash import contract, keep_least
 
 SEED = 42
@@ -96,13 +96,12 @@ SIG = T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(f"s{i}"
 
 def with_node(docs: DataFrame, text: str, *, words: int, name: str, keep: list[str], buckets: bool = False) -> DataFrame:
     """The columns ``keep`` and the text's node; with ``buckets`` also sig and buckets."""
-    tune(docs.sparkSession)
     source = docs.select(*dict.fromkeys([*keep, text]))
     more = [T.StructField("sig", SIG), T.StructField("buckets", T.ArrayType(T.LongType()))] if buckets else []
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField(name, T.LongType()), *more])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, starts, ends = utf8(batch.column(batch.schema.get_field_index(text)))
             nodes, sizes, sigs, places = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -128,7 +127,7 @@ def sets(docs: DataFrame, text: str, words: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             data, starts, ends = utf8(batch.column(0))
             nodes, held = [], []
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
@@ -191,7 +190,7 @@ def links(docs: DataFrame, rows: DataFrame, text: str, scratch: Scratch, *, word
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, least: float = 0.8) -> DataFrame:
-    """key, fp (the node of the row's shingle set) and root (the least node of its component)."""
+    """key, fp (the node of the row's shingle set) and root (one node of its component)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(with_node(docs, text, words=words, name="fp", keep=[key], buckets=True))
     roots = links(docs, rows, text, scratch, words=words, least=least)
