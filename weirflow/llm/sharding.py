@@ -5,8 +5,10 @@ lies in shard p mod k at slot p div k, so both can be computed from the row
 number alone, shards differ by one row at most, and slots have no gap.
 
 Defined cases: an empty table gives no rows; null keys are numbered first;
-rows that tie on every ordering column are interchangeable and get distinct
-places; an input column named like an output column is replaced.
+rows that tie on every ordering column, repeated rows too, are interchangeable
+and get distinct places; empty and very long texts are rows as any other, and
+null texts count no bytes; an input column named like an output column is
+replaced, any other name may occur.
 """
 
 from __future__ import annotations
@@ -33,11 +35,16 @@ def _mix(x: np.ndarray, key: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def round_keys(seed: int) -> list[int]:
+    """A key for each round, by the fixed mixer alone, so that no library's random numbers matter."""
+    return [int(k) for k in _mix(np.arange(1, ROUNDS + 1, dtype=np.uint64), seed % 2**64)]
+
+
 def permute(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
     """The image of each row number under the permutation of 0..n-1 that ``seed`` picks."""
     half = max(1, ((max(n - 1, 1)).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
-    keys = [int(k) for k in np.random.default_rng(seed).integers(1, 2**63, ROUNDS)]
+    keys = round_keys(seed)
     out = rows.astype(np.uint64)
     walking = np.arange(len(out))
     while len(walking):
