@@ -70,14 +70,16 @@ def poisson(mean, u):
     return k
 
 
-def unit(seed, key, part):
-    return int(hashlib.md5(f"{seed}|{'~' if key is None else key}|{part}".encode()).hexdigest()[:13], 16) / 2**52
+def unit(seed, key, text, part):
+    digest = "~" if text is None else hashlib.md5(text.encode()).hexdigest()
+    return int(hashlib.md5(f"{seed}|{'~' if key is None else key}|{digest}|{part}".encode()).hexdigest()[:13], 16) / 2**52
 
 
 def test_mixing_draws_the_inverted_poisson(spark):
     rng = random.Random(5)
-    rows = [(i, prose(rng, 3), rng.choice(["a", "b", "b", "c", None])) for i in range(400)] + [(None, None, "a"), (None, "", "z"), (7, "x", "tiny")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("pool", F.lit("mine"))
+    rows = [(i, prose(rng, 3), rng.choice(["a", "b", "b", "c", None])) for i in range(400)] + [(None, None, "a"), (None, "", "z"), (7, "x", "tiny"), (7, "y", "tiny")]
+    rows += [(None, prose(rng, 4), "b"), (500, prose(rng, 20_000), "c"), rows[5], rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"pool": F.lit("mine"), "digest": F.lit(1)})
     weights = {"a": 5.0, "b": 1.0, "tiny": 3.0, "none": 1.0}
     out = mixing.mix(docs, weights, other=1.0, seed=3)
     size = Counter()
@@ -89,7 +91,7 @@ def test_mixing_draws_the_inverted_poisson(spark):
         p = s if s in weights else ""
         rate = share[p] / sum(share.values()) * sum(size.values()) / size[p]
         parts = max(1, int(np.ceil(rate / mixing.PART)))
-        n = sum(poisson(rate / parts, unit(3, k, i)) for i in range(1, parts + 1))
+        n = sum(poisson(rate / parts, unit(3, k, t, i)) for i in range(1, parts + 1))
         for c in range(n):
             want[(k, t, s, "mine", n, c)] += 1
     got = Counter((r["doc_id"], r["text"], r["source"], r["pool"], r["n_copies"], r["copy"]) for r in out.collect())
@@ -108,6 +110,13 @@ def test_mixing_reaches_its_weights_and_shuffles(spark):
     assert ids == [r["doc_id"] for r in mixing.mix(docs, {"a": 1.0, "b": 1.0}).collect()]
 
 
+def test_rows_of_a_hot_key_spread(spark):
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(None, prose(rng, 8), "a") for _ in range(400)], "doc_id long, text string, source string")
+    sizes = [len(p) for p in mixing.mix(docs, {"a": 1.0}, spread=8).rdd.glom().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+
+
 def test_pipeline_mixing_draws_apart_for_texts_of_one_id(spark):
     import corpus_pipeline as c
 

@@ -4,8 +4,10 @@ A source whose share of the corpus bytes is below its target share is repeated,
 one above it thinned.  The mean repetition rate of a source is its share of the
 wanted bytes over the bytes it has; each document's count is a Poisson variable
 of that mean, drawn by inverting the distribution at a uniform number hashed
-from the document and a seed; copies are exploded and dealt to partitions by a
-second hash, sorted by a third: a global shuffle that any rerun repeats.
+from the document's key and text and a seed; copies are exploded and dealt to
+partitions by a second hash, sorted by a third: a global shuffle that any rerun
+repeats.  As the text is hashed too, rows of one hot key (null, say) draw apart
+and spread over all partitions.
 
 Large means are split into equal parts of at most PART each, every part drawn
 by its own hash, so no power underflows and work follows the rows put out.
@@ -14,8 +16,10 @@ Only DataFrame functions run; nothing is collected.
 
 Defined cases: sources outside the weights, null included, share the weight
 ``other`` as one pool; a pool without bytes, or with weight 0, has no rows out;
-null and empty texts count EMPTY_BYTES bytes; rows of one key draw equal counts,
-or with ``by_text`` only those of one key and text; an empty table gives no rows.  An input column named like an output is replaced.
+null and empty texts count EMPTY_BYTES bytes, and draw apart from each other;
+repeated rows, of one key and text, draw equal counts and have equal places;
+very long texts are one document as any other; an empty table gives no rows.
+An input column named like an output is replaced; any other name may occur.
 """
 
 from __future__ import annotations
@@ -66,18 +70,18 @@ def pool(source: str, weights: dict[str, float]) -> Column:
     return F.when(F.col(source).isin(*weights), F.col(source)).otherwise(F.lit("")) if weights else F.lit("")
 
 
-def mix(docs: DataFrame, weights: dict[str, float], *, other: float = 0.0, epochs: float = 1.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", copy_col: str = "copy", copies_col: str = "n_copies", spread: int | None = None, by_text: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], *, other: float = 0.0, epochs: float = 1.0, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", copy_col: str = "copy", copies_col: str = "n_copies", spread: int | None = None) -> DataFrame:
     """Each document as often as drawn, in globally shuffled order, with its copy number from 0 and its count.
 
     ``weights`` are relative target shares in bytes; ``epochs`` is the wanted output over the input, in bytes.
-    Counts and places are hashed from the key, with ``by_text`` from the text too.
+    Counts and places are hashed from the key and the text's digest.
     """
     if "" in weights:
         raise ValueError("a source with a weight needs a name")
     kept = docs.drop(*(c for c in docs.columns if c.lower() in (copy_col.lower(), copies_col.lower())))
     names = kept.columns
-    p, rate, parts, table, place, digest = free_name(kept, "pool", "rate", "parts", "cumulative", "place", "text_hash")
-    own = [F.col(key), F.col(digest)] if by_text else [F.col(key)]
+    p, rate, parts, table, place, digest = free_name(kept, "pool", "rate", "parts", "cumulative", "place", "digest")
+    own = [F.col(key), F.col(digest)]
     rates = source_rates(kept, weights, other, text, source, epochs).toDF(p, rate, parts, table)
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col(parts)),
@@ -86,12 +90,12 @@ def mix(docs: DataFrame, weights: dict[str, float], *, other: float = 0.0, epoch
     )
     one = F.size(F.filter(F.col(table), lambda c: c <= F.col(place)))
     drawn = (
-        kept.withColumns({p: pool(source, weights)} | ({digest: F.xxhash64(text)} if by_text else {}))
+        kept.withColumns({p: pool(source, weights), digest: F.md5(F.col(text).cast("binary"))})
         .join(F.broadcast(rates), p)  # bounded by the weights
         .withColumn(place, unit_hash(F.lit(seed), *own, F.lit(1)))
         .withColumn(copies_col, F.when(F.col(parts) == 1, one).otherwise(draw).cast("int"))
         .where(F.col(copies_col) > 0)
-        .select(*names, *own[1:], copies_col, F.explode(F.sequence(F.lit(0), F.col(copies_col) - 1)).alias(copy_col))
+        .select(*names, digest, copies_col, F.explode(F.sequence(F.lit(0), F.col(copies_col) - 1)).alias(copy_col))
         .withColumn(place, F.xxhash64(F.lit(seed), *own, F.col(copy_col)))
     )
     by = F.xxhash64(F.col(place), F.lit(seed))

@@ -20,12 +20,14 @@ parts as (select pool, greatest(ceil(rate / {PART}), 1)::int as parts, rate / gr
 cumulative as (
   select pool, parts, mean, 0 as k, exp(-mean) as p, exp(-mean) as c from parts
   union all select pool, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) from cumulative where k < {ENTRIES}),
+digests as (select *, coalesce(md5(text), '~') as digest from pools),
 draws as (
-  select doc_id, pool, part, ('0x' || substr(md5('{seed}|' || coalesce(doc_id::varchar, '~') || '|' || part), 1, 13))::bigint::double * pow(2::double, -52) as u
-  from (select distinct doc_id, pool from pools) join parts using (pool), generate_series(1, 1000000) g(part) where part <= parts),
-counts as (select doc_id, pool, count(*) filter (c <= u)::int as n_copies from draws join cumulative using (pool) group by all)
-select doc_id, text, lang, source, n_chars, n_copies, unnest(range(n_copies))::int as copy from pools join counts using (doc_id, pool)
-""".replace("generate_series(1, 1000000) g(part) where part <= parts", "unnest(range(1, parts + 1)) g(part)")
+  select doc_id, digest, pool, part, ('0x' || substr(md5('{seed}|' || coalesce(doc_id::varchar, '~') || '|' || digest || '|' || part), 1, 13))::bigint::double * pow(2::double, -52) as u
+  from (select distinct doc_id, digest, pool from digests) join (select pool, parts, unnest(range(1, parts + 1)) as part from parts) using (pool)),
+counts as (select doc_id, digest, pool, count(*) filter (c <= u)::int as n_copies from draws join cumulative using (pool) group by all)
+select d.doc_id, text, lang, source, n_chars, n_copies, unnest(range(n_copies))::int as copy
+from digests d join counts c on d.doc_id is not distinct from c.doc_id and d.digest = c.digest and d.pool = c.pool
+"""
 
 
 def decontamination(window: int = 13, share: float = 0.8, short: int = 8) -> str:
