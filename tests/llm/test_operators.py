@@ -175,26 +175,105 @@ def test_sharding_nothing(no_docs):
 # ---- fingerprints --------------------------------------------------------------------------
 
 
-def test_fingerprints_of_edited_and_next(docs, corpus, spark):
-    hashes = {r["t"]: r["h"] for r in docs.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
-    order = sorted(((k, t or "") for k, t in corpus), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+def naive_pieces(line):
+    """Bytes of one paragraph cut piece by piece: after stops and the blanks behind them, else at the last blank within 63 bytes."""
+    out = []
+    while line:
+        n = 0
+        while n < min(63, len(line)) and line[n] not in b".!?":
+            n += 1
+        stop = n
+        while stop < len(line) and line[stop] in b".!?":
+            stop += 1
+        if stop > n:
+            while stop < len(line) and line[stop : stop + 1].isspace():
+                stop += 1
+        elif n < len(line):
+            stop = max((i for i in range(1, n + 1) if line[i - 1 : i].isspace()), default=min(64, n + 1))
+        out.append(line[:stop])
+        line = line[stop:]
+    return out
+
+
+def naive_tree(raw):
+    """Nested lists of bytes: sections of paragraphs of pieces."""
+    sections, rest = [], raw
+    while rest:
+        m = re.search(rb"\n[ \t\r\f\v]*\n\s*", rest)
+        section, rest = (rest[: m.end()], rest[m.end() :]) if m else (rest, b"")
+        sections.append([naive_pieces(line) for line in section.splitlines(keepends=True)] if b"\r" not in section else [naive_pieces(line + b"\n") for line in section.split(b"\n")])
+    return sections
+
+
+def naive_likeness(a, b):
+    """Pairs off equal sections, then equal paragraphs of the others, then equal pieces of what is left."""
+    if a == b:
+        return 1.0
+    total = sum(len(p) for t in (a, b) for s in t for p in s)
+    flat = lambda x: (x,) if isinstance(x, bytes) else sum((flat(y) for y in x), ())
+    shared = 0
+    for level in range(3):
+        pool = list(b)
+        rest = []
+        for x in a:
+            if x in pool:
+                pool.remove(x)
+                shared += len(flat(x))
+            else:
+                rest.append(x)
+        if level < 2:
+            a, b = [c for x in rest for c in x], [c for x in pool for c in x]
+    return 2 * shared / total
+
+
+STRUCTURED = ["One. Two!  Three?\n\nA new section here.\nA second line of it, rather longer than the sixty-four bytes that a piece may have at most.\n", "One. Two!  Four?\n\nA new section here.\n\n\n  Third", "\n\n\n", "\n", " ", "...", "x" * 200, "No stop at all " * 12]
+
+
+def test_fingerprints_against_a_naive_tree(docs, corpus, spark):
+    rows = [*corpus, *((1000 + i, t) for i, t in enumerate(STRUCTURED))]
+    frame = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, part int, k string, ahead int").repartition(3)
+    hashes = {r["t"]: r["h"] for r in frame.selectExpr("coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     want = Counter()
     for i, (k, t) in enumerate(order):
         after = order[(i + 1) % len(order)][1]
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
-        a, b, c = (merkle.fingerprint(x.encode()) for x in (t, edited, after))
-        near = lambda x, y: 1.0 if x[0] == y[0] else merkle.likeness(x[1], y[1])
-        want[(k, len(t), hashlib.sha256(edited.encode()).hexdigest(), a[0], b[0], near(a, b), near(a, c))] += 1
-    assert Counter(tuple(r) for r in merkle.compare_with_edited(docs).collect()) == want
+        a, b, c = (naive_tree(x.encode()) for x in (t, edited, after))
+        want[(k, len(t), hashlib.sha256(edited.encode()).hexdigest(), naive_likeness(a, b), naive_likeness(a, c))] += 1
+    got = merkle.compare_with_edited(frame).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got) == want
+    texts = {}
+    for r in got:
+        texts.setdefault(r["doc_id"], set()).add(r["fingerprint"])
+    assert len({f for s in texts.values() for f in s}) == len({t or "" for _, t in rows})
+    assert {r["edited_fingerprint"] == r["fingerprint"] for r in got if r["edit_from"] is None} == {True}
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_next_of_string_keys_and_of_a_hot_key(spark, parts):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", f"k{i}", None]), prose(rng, 8)) for i in range(300)] + [("q\"uote", "x"), ("hot", "same"), ("hot", "same")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", hashes[r[1]]))
+    want = Counter((k, hashlib.sha256((t[: len(t) - len(t) // 4] + order[(i + 1) % len(order)][1][: len(t) // 4]).encode()).hexdigest()) for i, (k, t) in enumerate(order))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert Counter((r["doc_id"], r["edited_sha256"]) for r in merkle.compare_with_edited(docs).collect()) == want
+        sizes = [r["count"] for r in merkle.with_next(docs, "doc_id", "text").where("ahead = 0").groupBy("part").count().collect()]
+        assert max(sizes) <= 2.5 * len(rows) / int(parts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
+def test_a_lone_document_and_none(spark, no_docs):
     assert merkle.compare_with_edited(spark.createDataFrame([(5, "only one")], "doc_id long, text string")).first()["near_next"] == 1.0
-
-
-def test_no_document_has_no_fingerprint(no_docs):
     assert merkle.compare_with_edited(no_docs).count() == 0
 
 
-def test_tree_locates_edits_and_agrees_with_the_fingerprint():
+def test_tree_locates_edits():
     rng = random.Random(8)
     paragraphs = ["\n".join(prose(rng, 30) + "." for _ in range(3)) for _ in range(5)]
     raw = "\n\n".join(paragraphs).encode()
@@ -206,11 +285,15 @@ def test_tree_locates_edits_and_agrees_with_the_fingerprint():
     assert x[0] <= at and x[1] >= at + 5 and x[1] - x[0] < 200 and y[1] - y[0] < 200
     assert merkle.differences(a, merkle.tree(raw)) == []
     grown = merkle.differences(a, merkle.tree(raw + b"\n\nA new section."))
-    assert len(grown) == 1 and grown[0][1][0] >= len(raw)
-    spelled, leaves = merkle.fingerprint(raw)
-    assert merkle.leaves_of(spelled) == leaves
-    assert leaves == Counter(base64.b64encode(leaf.hash[:3]) for s in a.children for p in s.children for leaf in p.children)
-    assert spelled.startswith(a.hash.hex())
+    assert 1 <= len(grown) <= 4 and all(x[0] >= len(raw) - 100 and y[0] >= len(raw) - 100 for x, y in grown)
+    # roots are made from their children, and any byte counts
+    assert a.hash == merkle._hash(b"r" + b"".join(s.hash for s in a.children))
+    for other in (raw + b" ", raw.replace(b"\n\n", b"\n \n", 1), raw + b"\n"):
+        assert merkle.tree(other).hash != a.hash
+    everything = [leaf for s in a.children for p in s.children for leaf in p.children]
+    assert b"".join(raw[n.start : n.end] for n in everything) == raw
+    spelled = merkle.spelled(a)
+    assert spelled.startswith(a.hash.hex()) and all(n.code in spelled for n in everything)
 
 
 # ---- token counts --------------------------------------------------------------------------
