@@ -391,33 +391,80 @@ def test_urls(spark):
         assert r["verdict"] == (URL_RULES[rule] if rule else "allow" if r["score"] >= r["threshold"] else "block")
 
 
-def test_url_model_follows_its_definition(spark):
+def slow_scores(urls, seen, contexts):
+    """Scores and the threshold, in plain Python, from the definition."""
+    code = lambda c: url_filter.SYMBOLS.find("0" if c.isdigit() and c.isascii() else "?" if c in "&=#%_+:;,~@!$*()" else c) + 1
+    spelled = [tuple(map(code, (u or "").lower())) for u in urls]
+    rule = [matched(*parse(u)) for u in urls]
+    held = [u is not None and hashlib.md5(u.encode()).hexdigest()[0] in "012" for u in urls]
+    follow = {"allow": {}, "block": {}}
+    for s, r, h in zip(spelled, rule, held, strict=True):
+        if r and not h:
+            for i, c in enumerate(s):
+                for n in range(min(i, url_filter.ORDER) + 1):
+                    follow[URL_RULES[r]].setdefault(s[i - n : i], Counter())[c] += 1
+    size = lambda ctx: sum(sum(f.get(ctx, {}).values()) for f in follow.values())
+    least = max(seen, int(np.ceil(size(()) / contexts)))
+    known = {ctx for f in follow.values() for ctx in f if size(ctx) >= least and ctx} | {()}
+
+    def probability(kind, ctx, c):
+        table = follow[kind].get(ctx, Counter())
+        if not ctx:
+            return (table[c] + 1) / (table.total() + 32)
+        short = probability(kind, ctx[1:], c)
+        return (table[c] + len(table) * short) / (table.total() + len(table)) if table else short
+
+    scores = []
+    for s in spelled:
+        total = 0
+        for i, c in enumerate(s):
+            ctx = next(s[i - n : i] for n in range(min(i, url_filter.ORDER), -1, -1) if s[i - n : i] in known)
+            if follow["allow"] and follow["block"]:
+                total += round((np.log(probability("allow", ctx, c)) - np.log(probability("block", ctx, c))) * 10**6)
+        scores.append(total // len(s) if s else 0)
+    judged = [(x // url_filter.BIN, URL_RULES[r]) for x, r, h in zip(scores, rule, held, strict=True) if r and h]
+    yes, no = ([b for b, v in judged if v == kind] for kind in ("allow", "block"))
+    errors = [(sum(x < b for x in yes) / len(yes) - sum(x < b for x in no) / len(no), abs(b), b) for b in {b for b, _ in judged}] if yes and no else [(0, 0, 0)]
+    return scores, min(errors)[2] * url_filter.BIN, len({len(k) for k in known})
+
+
+def random_urls(rng, n):
+    return [f"http://{rng.choice('abc')}{rng.choice('xyz')}.{rng.choice(['net', 'org', 'com', 'example.net', 'example.com'])}/{rng.choice(['en', 'fr', 'de'])}/{rng.randrange(99)}{rng.choice(['', '?q=É', '_x'])}" for _ in range(n)]
+
+
+def test_url_model_follows_its_definition(spark, monkeypatch):
     rng = random.Random(4)
-    urls = [f"http://{rng.choice('abc')}{rng.choice('xyz')}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['en', 'fr', 'de'])}/{rng.randrange(99)}" for _ in range(80)]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, URL_RULES, keep=["page_id"]).collect()}
-    code = lambda c: url_filter.SYMBOLS.find({"?": "?"}.get(c, "0" if c.isdigit() else "?" if c in "&=#%_+:;,~@!$*()" else c)) + 1
-    counts = {k: [Counter(), Counter(), Counter()] for k in ("allow", "block")}
-    for u in urls:
-        rule = matched(*parse(u))
-        if rule:
-            s = [0, 0, *map(code, u.lower())]
-            for i in range(2, len(s)):
-                for n in range(3):
-                    counts[URL_RULES[rule]][n][tuple(s[i - n : i + 1])] += 1
-
-    def probability(kind, gram):
-        if len(gram) == 1:
-            return (counts[kind][0][gram] + 1) / (sum(counts[kind][0].values()) + 32)
-        table = counts[kind][len(gram) - 1]
-        follow = [n for g, n in table.items() if g[:-1] == gram[:-1]]
-        short = probability(kind, gram[1:])
-        return (table[gram] + len(follow) * short) / (sum(follow) + len(follow)) if follow else short
-
-    for i in (0, 7, 33):
-        s = [0, 0, *map(code, urls[i].lower())]
-        ratios = [np.log(probability("allow", tuple(s[j - 2 : j + 1])) / probability("block", tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))]
-        assert got[i]["score"] == pytest.approx(np.mean(ratios), abs=5e-6)
+    urls = [*random_urls(rng, 300), None, "", "no scheme", "http://" + "long." * 3000 + "net/", *random_urls(rng, 1) * 3]
+    for contexts in (url_filter.CONTEXTS, 12):
+        monkeypatch.setattr(url_filter, "CONTEXTS", contexts)
+        want, cut, lengths = slow_scores(urls, url_filter.SEEN, contexts)
+        pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, symbols string, steps int")
+        got = {r["page_id"]: r for r in url_filter.judge_urls(pages, URL_RULES, keep=["page_id"]).collect()}
+        assert [got[i]["score"] for i in range(len(urls))] == pytest.approx([x / 10**6 for x in want], abs=2e-6)
+        assert got[0]["threshold"] == pytest.approx(cut / 10**6)
+        assert lengths > 2
+
+
+def test_url_table_stays_out_of_the_rows(spark):
+    pages = spark.createDataFrame(list(enumerate(random_urls(random.Random(5), 60))), "page_id long, url string")
+    plan = url_filter.judge_urls(pages, URL_RULES, keep=["page_id"])._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000
+    assert re.search(r"aggregate\(symbols[^\n]*Subquery", plan)
+
+
+def test_a_very_long_url_takes_linear_time(spark):
+    import time
+
+    rng = random.Random(6)
+    seconds = []
+    for n in (20_000, 200_000):
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate([*random_urls(rng, 30), "http://a.org/" + "xy/" * (n // 3)])], "page_id long, url string")
+        judged = url_filter.judge_urls(pages, URL_RULES, keep=["page_id"])
+        judged.collect()
+        began = time.perf_counter()
+        judged.collect()
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * seconds[0] + 2
 
 
 def test_no_urls(spark):

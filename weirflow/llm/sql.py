@@ -47,7 +47,7 @@ select doc_id, item_id, place::int as word_at, matched::int as matched, compared
 
 
 def url_filter(rules: dict[str, str]) -> str:
-    """Rules, Witten-Bell trigrams and the cut of least balanced error."""
+    """Rules, Witten-Bell estimates of the longest known context and the cut of least balanced error on the held-out fold."""
     ordered = sorted(rules, key=lambda r: (-len(r), r), reverse=False)
     split = {r: r.partition("/") for r in ordered}
     fits = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{s}{p}') then '{r}'" for r, (h, s, p) in split.items())
@@ -57,32 +57,34 @@ def url_filter(rules: dict[str, str]) -> str:
     model = ""
     for y in ("yes", "no"):
         model += f""",
-n3_{y} as (select ab, c, count(*)::double as n from grams where kind = '{y}' group by all),
-n2_{y} as (select ab % {SIZE} as b, c, sum(n) as n from n3_{y} group by all),
-n1_{y} as (select c, sum(n) as n from n2_{y} group by all),
-p_{y} as (
-  select g.ab, g.c, coalesce(n3.n, 0) as n3, coalesce(c3.n, 0) as all3, coalesce(c3.t, 0) as t3, coalesce(n2.n, 0) as n2, coalesce(c2.n, 0) as all2, coalesce(c2.t, 0) as t2,
-    (coalesce(n1.n, 0) + 1) / ((select sum(n) from n1_{y}) + {SIZE}) as zero
-  from (select a.ab, b.c from range({SIZE * SIZE}) a(ab), range({SIZE}) b(c)) g
-  left join n3_{y} n3 on n3.ab = g.ab and n3.c = g.c
-  left join (select ab, sum(n) as n, count(*) as t from n3_{y} group by all) c3 on c3.ab = g.ab
-  left join n2_{y} n2 on n2.b = g.ab % {SIZE} and n2.c = g.c
-  left join (select b, sum(n) as n, count(*) as t from n2_{y} group by all) c2 on c2.b = g.ab % {SIZE}
-  left join n1_{y} n1 on n1.c = g.c),
-l_{y} as (select ab, c, ln(case when all3 > 0 then (n3 + t3 * one) / (all3 + t3) else one end) as l
-  from (select *, case when all2 > 0 then (n2 + t2 * zero) / (all2 + t2) else zero end as one from p_{y}))"""
+g_{y} as (select n, ctx, c, count(*) as k from grams where kind = '{y}' group by all),
+w_{y} as (select n, ctx, sum(k)::double as all_k, count(*) as kinds from g_{y} group by all),
+p0_{y} as (select 0 as n, 0 as ctx, c, (coalesce(k, 0) + 1) / (coalesce((select sum(k) from g_{y} where n = 0), 0) + {SIZE}) as p from range({SIZE}) r(c) left join (select c, k from g_{y} where n = 0) using (c))"""
+        for n in range(1, ORDER + 1):
+            model += f""",
+p{n}_{y} as (select s.n, s.ctx, r.c, case when all_k > 0 then (coalesce(k, 0) + kinds * p) / (all_k + kinds) else p end as p
+  from known s cross join range({SIZE}) r(c) join p{n - 1}_{y} b on b.ctx = s.ctx % {SIZE ** (n - 1)} and b.c = r.c
+  left join g_{y} g on g.n = s.n and g.ctx = s.ctx and g.c = r.c left join w_{y} w on w.n = s.n and w.ctx = s.ctx where s.n = {n})"""
+        model += f",\nl_{y} as (" + " union all ".join(f"select n, ctx, c, ln(p) as l from p{n}_{y}" for n in range(ORDER + 1)) + ")"
+    lags = ", ".join(f"lag(s, {j}) over w as a{j}" for j in range(1, ORDER + 1))
+    before = lambda n: " + ".join([f"a{j} * {SIZE ** (j - 1)}" for j in range(1, n + 1)]) or "0"
+    of_order = "case n " + " ".join(f"when {n} then {before(n)}" for n in range(ORDER + 1)) + " end"
+    held = ", ".join(f"'{x}'" for x in HELD_OUT)
     return f"""
-with raw as (select page_id, url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
-parsed as (select page_id, url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{a_z}', '{lower}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from raw),
+with raw as (select page_id, url, row_number() over () as r, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parsed as (select page_id, url, r, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{a_z}', '{lower}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from raw),
 ruled as (select *, case {said} end as said from (select *, case {fits} end as rule from parsed)),
-plain as (select *, translate(lower(coalesce(url, '')), '123456789&=#%_+:;,~@!$*()', '{"0" * 9 + "?" * 16}') as u from ruled),
-letters as (select page_id, said, i, {symbol} as s from (select page_id, said, unnest(range(1, length(u) + 1)) as i, substr(u, unnest(range(1, length(u) + 1)), 1) as c from plain)),
-coded as (select page_id, said, coalesce(lag(s, 2) over w, 0) * {SIZE} + coalesce(lag(s) over w, 0) as ab, s as c from letters window w as (partition by page_id order by i)),
-grams as (select ab, c, case said when 'allow' then 'yes' else 'no' end as kind from coded where said is not null){model},
-ratios as (select ab, c, case when (select count(distinct kind) from grams) = 2 then round((y.l - n.l) * {MICRO})::bigint else 0 end as ratio from l_yes y join l_no n using (ab, c)),
-scores as (select page_id, any_value(said) as said, floor(sum(ratio)::bigint / count(*))::bigint as score from coded join ratios using (ab, c) group by page_id),
-every as (select p.*, coalesce(s.score, 0) as score from plain p left join scores s using (page_id)),
-bins as (select least(greatest(floor(score / {BIN}), -{BINS}), {BINS})::int as bin, count(*) filter (said = 'allow') as yes, count(*) filter (said = 'block') as no from every where said is not null group by 1),
+plain as (select *, coalesce(substr(md5(url), 1, 1) in ({held}), false) as held, translate(lower(coalesce(url, '')), '123456789&=#%_+:;,~@!$*()', '{"0" * 9 + "?" * 16}') as u from ruled),
+letters as (select r, said, held, i, {symbol} as s from (select r, said, held, unnest(range(1, length(u) + 1)) as i, substr(u, unnest(range(1, length(u) + 1)), 1) as c from plain)),
+coded as (select r, said, held, i, s as c, {lags} from letters window w as (partition by r order by i)),
+placed as (select r, said, held, i, c, n, {of_order} as ctx from (select *, unnest(range(least(i - 1, {ORDER}) + 1)) as n from coded)),
+grams as (select n, ctx, c, case said when 'allow' then 'yes' else 'no' end as kind from placed where said is not null and not held),
+known as (select n, ctx from grams where n > 0 group by all having count(*) >= greatest({SEEN}, ceil((select count(*) from grams where n = 0) / {CONTEXTS})) union all select 0, 0){model},
+ratios as (select n, ctx, c, case when (select count(distinct kind) from grams) = 2 then round((y.l - o.l) * {MICRO})::bigint else 0 end as ratio from l_yes y join l_no o using (n, ctx, c)),
+longest as (select r, i, c, n, ctx from placed join known using (n, ctx) qualify row_number() over (partition by r, i order by n desc) = 1),
+scores as (select r, floor(sum(ratio)::bigint / count(*))::bigint as score from longest join ratios using (n, ctx, c) group by r),
+every as (select p.*, coalesce(s.score, 0) as score from plain p left join scores s using (r)),
+bins as (select least(greatest(floor(score / {BIN}), -{BINS}), {BINS})::int as bin, count(*) filter (said = 'allow') as yes, count(*) filter (said = 'block') as no from every where said is not null and held group by 1),
 cuts as (select bin, coalesce(sum(yes) over b, 0) / sum(yes) over () - coalesce(sum(no) over b, 0) / sum(no) over () as e, sum(yes) over () as y, sum(no) over () as n from bins window b as (order by bin rows between unbounded preceding and 1 preceding)),
 cut as (select coalesce((select bin * {BIN} from cuts where y > 0 and n > 0 order by e, abs(bin), bin limit 1), 0)::bigint as t)
 select page_id, host, path, rule, coalesce(said, case when score >= t then 'allow' else 'block' end) as verdict, score / {MICRO}::double as score, t / {MICRO}::double as threshold from every, cut
