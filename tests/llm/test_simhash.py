@@ -62,14 +62,34 @@ def test_links_over_a_table_with_slices(spark):
     signed = prints.view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in signed], "fp long")
     want = components(prints, 4)
-    for size in (50_000, 10):
-        roots = simhash.contract(simhash.trie_links(df, 4, slice_size=size), Scratch(spark))
+    for size, blocks in ((50_000, None), (10, None), (50_000, 6), (10, 7), (50_000, 8)):
+        roots = simhash.contract(simhash.trie_links(df, 4, slice_size=size, blocks=blocks), Scratch(spark))
         got = {r["node"]: r["root"] for r in roots.collect()}
         groups = {}
         for x, label in zip(signed.tolist(), want.tolist(), strict=True):
             groups.setdefault(label, set()).add(x)
         for members in groups.values():
-            assert {got.get(x, x) for x in members} == {min(members)}
+            assert len({got.get(x, x) for x in members}) == 1
+            assert {got.get(x, x) for x in members} <= members
+
+
+def test_more_fingerprints_cut_more_blocks():
+    assert [simhash.blocks_for(n, 4) for n in (10**3, 10**6, 10**8, 10**10, 10**13)] == [5, 5, 6, 7, 8]
+    assert simhash.blocks_for(10**13, 8) == 9
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 1000
+    scratch = Scratch(spark)
+    written = []
+    write = scratch.write
+    scratch.write = lambda df: written.append(1) or write(df)
+    chain = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    more = spark.createDataFrame([(5000, 5001), (5001, 5000), (7, 7)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in simhash.contract(chain.unionByName(more), scratch).collect()}
+    assert len({roots[i] for i in range(n)}) == 1
+    assert roots[5000] == roots[5001] != roots[0]
+    assert (len(written) - 1) / 2 <= 12
 
 
 def test_near_duplicates_and_keeping_one(docs, corpus):

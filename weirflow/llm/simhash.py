@@ -2,14 +2,17 @@
 
 Fingerprint: word shingles of the lower-cased text vote on 64 bits.
 
-Join: two fingerprints within ``budget`` differing bits agree on at least one of
-budget + 1 bit blocks, so every distinct fingerprint goes to one bucket per
-block, and each bucket's binary trie over the other bits is joined with itself:
-pairs of nodes are traversed together, differing bits accumulate along the way,
-and a pair is pruned once they exceed the budget.  Passes of rising budget let
-the last one also prune pairs of subtrees that lie in one component already, so
-a dense cluster isn't expanded into all its pairs.  A bucket gives a star of
-links per component; stars are merged across buckets by contraction.
+Join: the bits are cut into blocks, more than the ``budget`` of differing bits,
+so two fingerprints within it agree on all blocks but ``budget`` of them; every
+distinct fingerprint goes to one bucket for each choice of that many others, and
+each bucket's binary trie over the other bits is joined with itself: pairs of
+nodes are traversed together, differing bits accumulate along the way, and a
+pair is pruned once they exceed the budget.  The more fingerprints there are,
+the more blocks are cut, so that buckets stay of a size.  Passes of rising
+budget let the last one also prune pairs of subtrees that lie in one component
+already, so a dense cluster isn't expanded into all its pairs.  A bucket gives a
+star of links per component; stars are merged across buckets by contraction in
+rounds, each with an order of nodes of its own, which halve even a chain.
 
 Hot groups: equal texts, and all rows of one fingerprint, collapse to one row
 before the join; a bucket of more than ``slice_size`` fingerprints is cut into
@@ -17,13 +20,16 @@ slices whose pairs are separate tasks.
 
 Defined cases: null, empty and blank texts have no words and fingerprint zero,
 which links like any other; fewer words than a shingle make one shingle of
-them all; null keys are ignored for the smallest key unless a component has no
-other; an empty table gives no rows.
+them all; a very long text is one document as any other; null keys are ignored
+for the smallest key unless a component has no other; repeated rows and rows of
+one key stay, each with the component of its text; other columns, whatever their
+names, have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, free_name, tune, utf8
+from weirflow.llm.common import Scratch, free_name, sliced, utf8
 
 BITS = 64
 SEED = 42
@@ -66,13 +72,12 @@ def fingerprint(raw: bytes, words: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", *, words: int = 4, name: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default all) and the fingerprint as a signed long."""
-    tune(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() != name.lower()] if keep is None else keep
     source = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField(name, T.LongType(), False)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data, starts, ends = utf8(batch.column(batch.schema.get_field_index(text)))
             prints = np.array([fingerprint(data[a:b].tobytes(), words) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(prints.view(np.int64))], names=[*keep, name])
@@ -192,20 +197,48 @@ class TrieJoin:
         return moved, label[moved]
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """Offset and width of budget + 1 blocks of bits."""
-    edge = [BITS * i // (budget + 1) for i in range(budget + 2)]
+#: Fingerprints a bucket of random ones has at most, before more blocks are cut, and blocks at most.
+BUCKET, MOST_BLOCKS = 256, 8
+
+
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """Offset from the top and width of n blocks of bits."""
+    edge = [BITS * i // n for i in range(n + 1)]
     return [(x, y - x) for x, y in zip(edge, edge[1:], strict=False)]
 
 
-def trie_links(prints: DataFrame, budget: int = 4, *, slice_size: int = 50_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that join what the budget joins; b is the least of a's component in a bucket."""
-    blocks = _blocks(budget)
+def blocks_for(count: int, budget: int) -> int:
+    """As few blocks as keep the buckets of so many fingerprints small."""
+    n = budget + 1
+    while n < MOST_BLOCKS and count > BUCKET << (BITS * (n - budget) // n):
+        n += 1
+    return n
+
 
-    def turned(offset: int) -> str:
-        return "fp" if offset == 0 else f"(shiftleft(fp, {offset}) | shiftrightunsigned(fp, {BITS - offset}))"
+def _places(blocks: int, budget: int) -> tuple[str, int]:
+    """SQL for the block choice, bucket and other bits (moved to the top) of fp for each choice; and how many other bits there are at most."""
+    cut = _blocks(blocks)
+    out, depth = [], 0
+    for number, chosen in enumerate(combinations(range(blocks), blocks - budget)):
 
-    places = ", ".join(f"struct({i} as block, shiftrightunsigned({turned(o)}, {BITS - w}) as bucket, shiftleft({turned(o)}, {w}) as rest)" for i, (o, w) in enumerate(blocks))
+        def packed(which: list[int]) -> tuple[str, int]:
+            terms, size = [], 0
+            for i in reversed(which):
+                offset, width = cut[i]
+                terms.append(f"shiftleft(shiftrightunsigned(fp, {BITS - offset - width}) & {(1 << width) - 1}L, {size})")
+                size += width
+            return " | ".join(terms), size
+
+        bucket, _ = packed(list(chosen))
+        rest, size = packed([i for i in range(blocks) if i not in chosen])
+        depth = max(depth, size)
+        out.append(f"struct({number} as block, {bucket} as bucket, shiftleft({rest}, {BITS - size}) as rest)")
+    return ", ".join(out), depth
+
+
+def trie_links(prints: DataFrame, budget: int = 4, *, slice_size: int = 50_000, blocks: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that join what the budget joins; b is the least of a's component in a bucket."""
+    places, depth = _places(blocks or blocks_for(prints.count(), budget), budget)
     rows = prints.select("fp").distinct().select("fp", F.inline(F.expr(f"array({places})")))
     big = rows.groupBy("block", "bucket").count().where(F.col("count") > slice_size).select("block", "bucket", F.ceil(F.col("count") / slice_size).cast("int").alias("slices"))
     cut = rows.join(big, ["block", "bucket"], "left")
@@ -215,7 +248,6 @@ def trie_links(prints: DataFrame, budget: int = 4, *, slice_size: int = 50_000)
     dealt = cut.withColumn("mine", mine).select("block", "bucket", "rest", "fp", F.inline(tasks))
     key = ["block", "bucket", "x", "y"]
     dealt = dealt.repartition(*key).sortWithinPartitions(*key).select(*key, "rest", "fp")
-    depth = BITS - min(w for _, w in blocks)
 
     def join(group: list[np.ndarray]) -> pa.RecordBatch:
         block, bucket, x, y, rest, fp = group
@@ -247,18 +279,20 @@ def trie_links(prints: DataFrame, budget: int = 4, *, slice_size: int = 50_000)
 
 
 def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of every linked node; the root is the least node of its component.
+    """(node, root) of every linked node; the root is one node of its component.
 
-    Each round points nodes at their least neighbour and contracts the links along the pointers; every round's
-    tables are written, and the pointers composed at the end.  Links only get fewer, so their first number bounds
-    the files of every table.
+    Each round orders the nodes by a hash of its own, points each at the first of itself and its neighbours, and
+    contracts the links along the pointers; the ends of half a chain's nodes fall together, so rounds grow with the
+    logarithm of a component's size.  Every round's tables are written, and the pointers composed at the end.  Links
+    only get fewer, so their first number bounds the files of every table.
     """
     files = max(1, -(-links.count() // ROUND_ROWS))
     edges = scratch.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().coalesce(files))
     pointers: list[DataFrame] = []
     while not edges.isEmpty():
+        ranked = lambda c, step=len(pointers): F.struct(F.xxhash64(c, F.lit(step)).alias("rank"), F.col(c).alias("up"))
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("l")).select("l.*")
-        up = scratch.write(both.groupBy("node").agg(F.least("node", F.min("other")).alias("up")).coalesce(files))
+        up = scratch.write(both.groupBy("node").agg(F.min(ranked("other")).alias("first")).select("node", F.least("first", ranked("node"))["up"].alias("up")).coalesce(files))
         pointers.append(up)
         at_a = edges.join(up.toDF("a", "up_a"), "a").select("b", "up_a")
         moved = at_a.join(up.toDF("b", "up_b"), "b").where("up_a <> up_b")
@@ -276,7 +310,7 @@ def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _classes(docs: DataFrame, key: str, text: str, words: int, budget: int) -> DataFrame:
-    """key, fp, component and root: the least fingerprint of the component, which tells apart those of one least key."""
+    """key, fp, component and root: a fingerprint of the component, which tells apart those of one least key."""
     scratch = Scratch(docs.sparkSession)
     prints = scratch.write(with_fingerprint(docs, text, words=words, keep=[key]))
     roots = contract(scratch.write(trie_links(prints, budget)), scratch)
