@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from weirflow.llm.decontaminate import MIN_WORDS
 from weirflow.llm.mixing import EMPTY_BYTES, ENTRIES, PART
-from weirflow.llm.url_filter import BIN, BINS, MICRO, SIZE, SYMBOLS
+from weirflow.llm.url_filter import BIN, BINS, CONTEXTS, HELD_OUT, MICRO, ORDER, SEEN, SIZE, SYMBOLS
 
 
 def mixing(weights: dict[str, float], other: float, epochs: float = 1.0, seed: int = 7) -> str:
