@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_texts import prose
@@ -14,31 +15,51 @@ def brute(texts, span):
     return [repeats.merge_spans([(i, i + span) for i in range(len(t) - span + 1) if seen[t[i : i + span]] > 1]) for t in texts]
 
 
-def in_memory(texts, gram, span):
+def in_memory(texts, gram, report, span):
+    """What is repeated in runs of ``span`` and of ``report`` bytes."""
     size = np.array([len(t) for t in texts])
     ends = np.cumsum(size)
-    owner, place, value = repeats.anchors(np.frombuffer(b"".join(texts), np.uint8), ends - size, ends, gram, span)
-    groups, out = {}, [[] for _ in texts]
+    owner, place, value = repeats.anchors(np.frombuffer(b"".join(texts), np.uint8), ends - size, ends, gram, report)
+    groups, out = {}, [[[] for _ in texts] for _ in range(2)]
+    aside = (span - report) // 2
     for o, p, v in zip(owner.tolist(), place.tolist(), value.tolist(), strict=True):
         groups.setdefault(v, []).append((o, p))
     for places in groups.values():
         if len(places) > 1:
-            left = [texts[o][max(0, p - (span - gram)) : p][::-1] for o, p in places]
-            right = [texts[o][p : p + span] for o, p in places]
-            for (o, p), (l, r) in zip(places, repeats.group_reach(left, right, span), strict=True):
-                if r:
-                    out[o].append((p - l, p + r))
-    return [repeats.merge_spans(x) for x in out]
+            left = [texts[o][max(0, p - (aside + report - gram)) : p][::-1] for o, p in places]
+            right = [texts[o][p : p + span - aside] for o, p in places]
+            for (o, p), each in zip(places, repeats.group_reach(left, right, (span, report)), strict=True):
+                for rows, (l, r) in zip(out, each, strict=True):
+                    if r:
+                        rows[o].append((p - l, p + r))
+    return [[repeats.merge_spans(x) for x in rows] for rows in out]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 60))
+def test_both_scans_of_a_group_agree(seed, n):
+    rng = random.Random(seed)
+    piece = lambda m: bytes(97 + rng.randrange(2) for _ in range(rng.randrange(m)))
+    number = {(piece(9), b"ab" + piece(12)): None for _ in range(n)}
+    left, right = [x for x, _ in number], [y for _, y in number]
+    spans = (9, 5)
+    want = [[[0, 0] for _ in spans] for _ in number]
+    for l, r, members in repeats.maximal_repeats(left, right, 5):
+        for i, span in enumerate(spans):
+            for m in members if l + r >= span else ():
+                want[m][i] = [max(want[m][i][0], l), max(want[m][i][1], r)]
+    if len(number) > 1:
+        assert repeats.tree_reach(left, right, spans).transpose(1, 0, 2).tolist() == want
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(0, 10**6), st.sampled_from([2, 3, 26]), st.sampled_from([(5, 12), (10, 20), (16, 30)]))
+@given(st.integers(0, 10**6), st.sampled_from([2, 3, 26]), st.sampled_from([(5, 12, 12), (5, 9, 16), (10, 14, 21), (16, 30, 41)]))
 def test_anchors_and_tree_find_all_repeats(seed, letters, sizes):
     rng = random.Random(seed)
     piece = lambda n: bytes(97 + rng.randrange(letters) for _ in range(rng.randrange(1, n)))
     pool = [piece(60) for _ in range(5)]
     texts = [b"".join(rng.choice(pool) if rng.random() < 0.6 else piece(30) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 10))]
-    assert in_memory(texts, *sizes) == brute(texts, sizes[1])
+    assert in_memory(texts, *sizes) == [brute(texts, sizes[2]), brute(texts, sizes[1])]
 
 
 def test_segments_meet_without_a_seam(monkeypatch):
@@ -46,7 +67,7 @@ def test_segments_meet_without_a_seam(monkeypatch):
     part = bytes(rng.randrange(256) for _ in range(300))
     texts = [bytes(rng.randrange(256) for _ in range(700)) + part, part + bytes(rng.randrange(256) for _ in range(400))]
     monkeypatch.setattr(repeats, "SEGMENT", 64)
-    assert in_memory(texts, 20, 40) == brute(texts, 40)
+    assert in_memory(texts, 20, 40, 40) == [brute(texts, 40)] * 2
 
 
 def test_maximal_repeats_list_all_occurrences():
@@ -60,14 +81,40 @@ def test_intervals_of_a_prefix_array():
     assert sorted(repeats.intervals([0, 3, 1, 2], 1)) == [(1, 0, 3), (2, 2, 3), (3, 0, 1)]
 
 
-def test_removal_over_a_table(docs, corpus):
-    got = repeats.remove_repeats(docs, span=100, gram=50).collect()
-    texts = [(t or "").encode() for _, t in corpus]
+def removed(rows, span, report):
+    texts = [(t or "").encode() for _, t in rows]
     want = Counter()
-    for (k, _), raw, runs in zip(corpus, texts, brute(texts, 100), strict=True):
+    for (k, _), raw, runs, told in zip(rows, texts, brute(texts, span), brute(texts, report), strict=True):
         edge = [0, *(x for r in runs for x in r), len(raw)]
-        want[(k, len(raw), sum(b - a for a, b in runs), tuple(runs), b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)))] += 1
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], tuple((s["from"], s["to"]) for s in r["spans"]), bytes(r["kept"])) for r in got) == want
+        want[(k, len(raw), sum(b - a for a, b in runs), tuple(runs), b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)), sum(b - a for a, b in told))] += 1
+    return want
+
+
+def told(found):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], tuple((s["from"], s["to"]) for s in r["spans"]), bytes(r["kept"]), r["n_repeated"]) for r in found.collect())
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_removal_over_a_table(spark, docs, corpus, most):
+    rng = random.Random(40)
+    part = prose(rng, 30)[:80]
+    more = [(300 + i, prose(rng, 9) + part + prose(rng, 9)) for i in range(3)]
+    both = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    clashing = both.selectExpr("doc_id", "text", "1 as k", "'x' as d", "2 as whole", "3 as spans")
+    want = removed([*corpus, *more], 100, 60)
+    assert told(repeats.remove_repeats(clashing, span=100, report=60, gram=30, most=most)) == want
+    assert sum(k[5] > k[2] for k in want) > 0
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_a_passage_in_most_texts(spark, most):
+    """Every text has the passage once or twice, between prose of its own."""
+    rng = random.Random(41)
+    passage = prose(rng, 80)
+    rows = [(i, f"{prose(rng, rng.randrange(0, 30))} {passage[: rng.choice([700, 300, 150])]}{rng.choice(['', ' ' + passage])} {prose(rng, 9)}") for i in range(120)]
+    rows += [rows[3], (None, rows[4][1]), (None, passage[50:350])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert told(repeats.remove_repeats(docs, span=200, report=120, gram=40, most=most)) == removed(rows, 200, 120)
 
 
 def test_empty_table(no_docs):
