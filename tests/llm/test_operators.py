@@ -329,31 +329,86 @@ def test_edits_leave_the_tree_as_a_recount(vocabulary, seed):
         assert (tree.text(), tree.n_chars, tree.n_tokens) == (text, whole.n_chars, whole.n_tokens)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 10**6))
+def test_edits_of_a_kept_tree(vocabulary, seed):
+    rng = random.Random(seed)
+    count = tokencount._encoder(open(vocabulary, "rb").read())
+    text = "".join(rng.choice(PARTS) for _ in range(rng.choice([0, 3, 30, 600, 3000])))
+    tree = tokencount.TokenTree(text, count)
+    for _ in range(4):
+        tree = tokencount.TokenTree.kept(text, tree.chars, tree.tokens, count)
+        assert (tree.text(), tree.encoded) == (text, 0)
+        a = rng.randint(0, len(text) + 2)
+        b, new = a + rng.choice([0, 0, 1, 5, 2000]), "".join(rng.choice(PARTS) for _ in range(rng.choice([0, 1, 3, 300])))
+        tree.edit(a, b, new)
+        text = text[: min(a, len(text))] + new + text[min(b, len(text)) :]
+        whole = tokencount.TokenTree(text, count)
+        assert (tree.text(), tree.n_chars, tree.n_tokens) == (text, whole.n_chars, whole.n_tokens)
+        assert all(t[i] == t[2 * i] + t[2 * i + 1] for t in (tree.chars, tree.tokens) for i in range(1, tree.width))
+
+
 def test_small_edits_encode_little(vocabulary):
     count = tokencount._encoder(open(vocabulary, "rb").read())
-    tree = tokencount.TokenTree("hello world 12 " * 20_000, count)
+    text = "hello world 12 " * 20_000
+    tree = tokencount.TokenTree(text, count)
     before = tree.encoded
     tree.edit(100_000, 100_005, "there")
     assert tree.encoded - before < 20
+    kept = tokencount.TokenTree.kept(tree.text(), tree.chars, tree.tokens, count)
+    kept.edit(200_000, 200_005, "there")
+    assert kept.encoded < 4 * tokencount.BLOCK
 
 
-def test_token_counts_over_a_table(docs, corpus, no_docs, vocabulary):
+def recount(vocabulary):
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary, "rb").read().splitlines())}
-    encode = tiktoken.Encoding("t", pat_str=tokencount.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding("t", pat_str=tokencount.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def edited_text(text, edits):
+    for a, b, x in edits:
+        a = max(0, min(a, len(text)))
+        text = text[:a] + x + text[min(max(a, b), len(text)) :]
+    return text
+
+
+def test_token_counts_over_a_table(docs, corpus, no_docs, vocabulary):
+    encode = recount(vocabulary)
     want = Counter()
     for k, t in corpus:
-        t = new = t or ""
-        for a, b, x in tokencount.sample_edits(t):
-            a = min(a, len(new))
-            new = new[:a] + x + new[min(max(a, b), len(new)) :]
-        want[(k, len(t), len(encode(t)), len(new), len(encode(new)))] += 1
-    got = tokencount.count_tokens(docs, vocabulary).collect()
+        t = t or ""
+        n = len(t)
+        new = edited_text(t, [(n // 3, n // 3, " [revised] "), (2 * n // 3, 2 * n // 3 + 20, ""), (n + 11, n + 11, t[:50])])
+        want[(k, n, len(encode(t)), len(new), len(encode(new)))] += 1
+    got = tokencount.count_tokens(docs.withColumns({"chars": F.lit(1), "tokens": F.lit("x"), "edits": F.lit(2)}), vocabulary).collect()
     assert Counter((r["doc_id"], r["n_chars"], r["n_tokens"], r["edited_n_chars"], r["edited_n_tokens"]) for r in got) == want
     assert tokencount.count_tokens(no_docs, vocabulary).count() == 0
 
 
+def test_a_table_of_edits_on_kept_trees(spark, docs, corpus, no_docs, vocabulary):
+    rng = random.Random(31)
+    encode = recount(vocabulary)
+    ids = [k for k, _ in corpus]
+    rows = []
+    for seq in range(60):
+        a = rng.randrange(0, 400)
+        rows.append((rng.choice([*ids, None, 999]), seq, a, a + rng.choice([0, 3, 90]), rng.choice(["", " x", " hello world 12" * 9])))
+    none = (ids[0], 70, None, 3, "x")
+    edits = spark.createDataFrame([*rows, none], "doc_id long, seq long, start long, stop long, new string")
+    trees = tokencount.build_trees(docs, vocabulary)
+    got = tokencount.apply_edits(trees, edits, vocabulary).collect()
+    want = Counter()
+    for k, t in corpus:
+        new = edited_text(t or "", [(a, b, x) for key, _, a, b, x in rows if key == k])
+        want[(k, new, len(encode(new)))] += 1
+    assert Counter((r["doc_id"], r["text"], r["tokens"][1]) for r in got) == want
+    again = tokencount.apply_edits(trees, edits.limit(0), vocabulary).collect()
+    assert Counter((r["doc_id"], r["text"], r["n_reencoded"]) for r in again) == Counter((k, t or "", 0) for k, t in corpus)
+    assert tokencount.apply_edits(tokencount.build_trees(no_docs, vocabulary), edits, vocabulary).count() == 0
+
+
 # ---- URL filter ----------------------------------------------------------------------------
 
 URLS = [
