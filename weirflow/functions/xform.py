@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Largest number of values that a dynamic fan-out may give a row; fixes the order of its rows in seq.
+#: Largest number of values that a dynamic fan-out may give a row, more are an error; fixes the order of its rows in seq.
 FAN_OUT = 1 << 10
 
 Step = Callable[[DataFrame], DataFrame]
@@ -69,7 +69,10 @@ def transform_values(f: Callable[[Column], Column]) -> Step:
 
     def step(df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in ("value", "seq")]
-        out = df.select(*rest, "seq", F.posexplode(f(_v())).alias("_at", "value"))
+        made = f(_v())
+        many = F.raise_error(F.lit(f"more than {FAN_OUT} values of one row"))
+        held = F.when(F.size(made) <= FAN_OUT, made).when(F.size(made) > FAN_OUT, many)
+        out = df.select(*rest, "seq", F.posexplode(held).alias("_at", "value"))
         return out.select(*rest, "value", (F.col("seq") * FAN_OUT + F.col("_at")).alias("seq"))
 
     return step

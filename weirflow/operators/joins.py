@@ -151,25 +151,35 @@ def _reshaped(relation: Relation, value: Column) -> Relation:
     return Relation(relation.kind, again(relation.changelog), final=(lambda: again(relation.snapshot())) if relation.final else None)
 
 
-def join_all(relations: list[Relation], join: Join, small: bool = True) -> Relation:
-    """A left fold over the relations.
+class Nesting:
+    """The shape of the value while inputs are joined one after another: two inputs (a, b), three (a, b, c), four
+    ((a, b, c), d), five ((a, b, c), d, e) and so on; with ``flatten`` one struct of all."""
+
+    def __init__(self, join: Join) -> None:
+        self.join, self.width, self.flat = join, 2, 2
+
+    def after(self) -> Column | None:
+        """The value's new shape after one more input, if the pair that the join made isn't that already."""
+        if self.join.how == "merge":
+            return None
+        shape = None
+        if self.join.flatten or self.width == 2:
+            count, inner = self.flat if self.join.flatten else 2, F.col("value._1")
+            shape = F.struct(*(inner[f"_{i}"].alias(f"_{i}") for i in range(1, count + 1)), F.col("value._2").alias(f"_{count + 1}"))
+            self.width = 3
+        else:
+            self.width = 2
+        self.flat += 1
+        return shape
 
-    Values nest as two inputs (a, b), three (a, b, c), four ((a, b, c), d), five ((a, b, c), d, e) and so on;
-    with ``flatten`` they are one struct of all.  A missing input is null in its place.
-    """
+
+def join_all(relations: list[Relation], join: Join, small: bool = True) -> Relation:
+    """A left fold over the relations, with values as Nesting has them.  A missing input is null in its place."""
     if len(relations) == 1:
         return relations[0]
-    out, width, flat = _two(relations[0], relations[1], join, small), 2, 2
+    out, nesting = _two(relations[0], relations[1], join, small), Nesting(join)
     for right in relations[2:]:
         out = _two(out, right, join, small)
-        if join.how == "merge":
-            continue
-        inner = F.col("value._1")
-        if join.flatten or width == 2:
-            count = flat if join.flatten else 2
-            fields = [inner[f"_{i}"].alias(f"_{i}") for i in range(1, count + 1)] + [F.col("value._2").alias(f"_{count + 1}")]
-            out, width = _reshaped(out, F.struct(*fields)), 3
-        else:
-            width = 2
-        flat += 1
+        shape = nesting.after()
+        out = out if shape is None else _reshaped(out, shape)
     return out

@@ -15,6 +15,7 @@ class Relation:
 
     ``changelog`` has one row for each event or update; ``snapshot`` the latest row of each key
     (and window), made when asked for, by ``final`` where there is a cheaper plan than picking from the changelog.
+    With ``tombstones`` a null value removes its key, so a key whose latest value is null has no row there.
     """
 
     kind: str
@@ -42,16 +43,12 @@ class Relation:
     def as_table(self, store: str | None = None) -> Relation:
         """Latest value per key; a table stays itself unless it gets another store."""
         if self.kind == "stream":
-            return Relation("table", self.changelog, store=store)
+            return Relation("table", self.changelog, store=store, tombstones=True)
         if store is None or store == self.store:
             return self
         return replace(self, store=store)
 
 
-def when_order() -> Column:
-    return F.struct("ts", "seq")
-
-
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:
     """The row of each key that is last in ts and seq, by a combinable aggregate (no window, no sort)."""
     rest = [c for c in df.columns if c not in keys]

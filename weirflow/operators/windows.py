@@ -25,3 +25,8 @@ def sessions(df: DataFrame, keys: list[str], window: SessionWindow) -> DataFrame
     whole = Window.partitionBy(*keys, "_session")
     win = F.struct(F.min("ts").over(whole).alias("start"), (F.max("ts").over(whole) + millis(window.gap)).alias("end"))
     return numbered.withColumn("win", win).drop("_new", "_session")
+
+
+def assigned(df: DataFrame, window: TimeWindow | SessionWindow) -> DataFrame:
+    """Rows with the windows of their keys that hold them, in the column win."""
+    return sessions(df, ["key"], window) if isinstance(window, SessionWindow) else time_windows(df, window)

@@ -17,7 +17,11 @@ KV = Callable[[Column, Column], Column]
 
 @dataclass(frozen=True)
 class TimeWindow:
-    """Windows of ``size`` ms every ``advance`` ms (tumbling by default), aligned to the epoch."""
+    """Windows of ``size`` ms every ``advance`` ms (tumbling by default), aligned to the epoch.
+
+    ``grace``: how many ms after its end a window still takes late rows.  A batch run takes rows in order of time, so
+    none is late; in a stream it is the least delay of the watermark of the sources.
+    """
 
     size: int
     advance: int | None = None
@@ -30,7 +34,10 @@ class TimeWindow:
 
 @dataclass(frozen=True)
 class SessionWindow:
-    """Sessions that end when ``gap`` ms or more pass without a record; a gap of exactly that still merges."""
+    """Sessions that end when ``gap`` ms or more pass without a record; a gap of exactly that still merges.
+
+    ``grace`` as for a TimeWindow.
+    """
 
     gap: int
     grace: int = 0
@@ -56,9 +63,10 @@ class JoinWindow:
 class Aggregation:
     """What a table keeps for each group.
 
-    ``kind``: sum, count, min, max, avg, collect, latest, or fold.  ``of`` picks the
+    ``kind``: sum, count, min, max, avg, collect, latest, fold, or several.  ``of`` picks the
     number from key and value.  A fold starts from ``init`` and applies ``add(acc, key, value)``
-    in order of ts and seq; ``subtract`` takes a replaced row out again.
+    in order of ts and seq; ``subtract`` takes a replaced row out again.  ``parts``: the names and
+    aggregations that one pass keeps side by side, as fields of a struct.
     """
 
     kind: str
@@ -66,10 +74,13 @@ class Aggregation:
     init: Any = None
     add: Callable[[Column, Column, Column], Column] | None = None
     subtract: Callable[[Column, Column, Column], Column] | None = None
+    parts: tuple[tuple[str, Aggregation], ...] = ()
 
     def __post_init__(self) -> None:
-        if self.kind not in ("sum", "count", "min", "max", "avg", "collect", "latest", "fold"):
+        if self.kind not in ("sum", "count", "min", "max", "avg", "collect", "latest", "fold", "several"):
             raise ValueError(f"no aggregation {self.kind!r}")
+        if self.kind == "several" and (not self.parts or any(a.kind in ("fold", "several") for _, a in self.parts)):
+            raise ValueError("several aggregations need parts, which are no folds")
         if self.kind == "fold" and (self.add is None or self.init is None):
             raise ValueError("a fold needs add and init")
 
@@ -110,6 +121,11 @@ class Agg:
         """``init`` is a Column or a literal of the accumulator's type."""
         return Aggregation("fold", None, init, add, subtract)
 
+    @staticmethod
+    def several(**parts: Aggregation) -> Aggregation:
+        """All of ``parts`` in one pass; the value is a struct with a field for each."""
+        return Aggregation("several", parts=tuple(parts.items()))
+
 
 @dataclass(frozen=True)
 class Suppress:
@@ -141,7 +157,11 @@ class Stream:
 
 @dataclass(frozen=True)
 class Table:
-    """The latest value of each key, or an aggregate of each group."""
+    """The latest value of each key, or an aggregate of each group.
+
+    ``initial`` is what an aggregate starts from: added to a sum or count, compared with a minimum or maximum, put
+    before a collection, in the place of a fold's own; a mapping by name for several.  ``store`` names the table's view.
+    """
 
     group_by: KV | None = None
     aggregate: Aggregation | None = None
@@ -153,9 +173,10 @@ class Table:
 
 @dataclass(frozen=True)
 class GlobalTable:
-    """A lookup table of one topic, small enough to broadcast when its size has been checked."""
+    """A lookup table of one topic, broadcast if its latest rows are as few, and as small, as this; else Spark picks the join."""
 
     broadcast_rows: int = 100_000
+    broadcast_bytes: int = 32 << 20
 
 
 Entity = Topic | Stream | Table | GlobalTable

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from graphlib import CycleError
 
 from weirflow.plans import graph
-from weirflow.plans.model import GlobalTable, Join, JoinWindow, SessionWindow, Stream, Table, TimeWindow, Topic, Topology
+from weirflow.plans.model import Aggregation, GlobalTable, Join, JoinWindow, SessionWindow, Stream, Table, TimeWindow, Topic, Topology
 
 
 class TopologyError(ValueError):
@@ -21,6 +22,8 @@ def _entity(name: str, entity: object) -> list[str]:
             return [f"{name}: an aggregating table needs group_by and aggregate"]
         if entity.window is not None and not isinstance(entity.window, TimeWindow | SessionWindow):
             return [f"{name}: a table's window is a TimeWindow or a SessionWindow"]
+        if entity.initial is not None and (refused := _without_initial(entity.aggregate, entity.initial)):
+            return [f"{name}: {refused}"]
         if entity.suppress is not None and entity.suppress.until == "window_close" and entity.window is None:
             return [f"{name}: only a windowed table can wait until its window closes"]
         return []
@@ -29,6 +32,18 @@ def _entity(name: str, entity: object) -> list[str]:
     return [f"{name}: not an entity: {entity!r}"]
 
 
+def _without_initial(agg: Aggregation, initial: object) -> str | None:
+    """Why an aggregation can't start from ``initial``."""
+    if agg.kind in ("avg", "latest"):
+        return f"{agg.kind} has no initial value"
+    if agg.kind == "several":
+        parts = dict(agg.parts)
+        if not isinstance(initial, Mapping) or set(initial) - set(parts):
+            return "the initial value of several aggregations is a mapping by their names"
+        return next((r for n, x in initial.items() if (r := _without_initial(parts[n], x))), None)
+    return None
+
+
 def _joined(names: tuple[str, ...], join: Join, topology: Topology) -> list[str]:
     kinds = [topology.entities.get(n) for n in names]
     found = []
