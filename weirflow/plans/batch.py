@@ -6,11 +6,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirflow.functions.xform import Pipeline
 from weirflow.operators.aggregates import aggregate, suppress
 from weirflow.operators.joins import join_all, merge
 from weirflow.operators.relation import Relation
+from weirflow.operators.windows import assigned
 from weirflow.plans import graph
 from weirflow.plans.model import GlobalTable, Stream, Table, Topic, Topology
 
@@ -32,6 +34,19 @@ class Result:
     def results(self) -> dict[str, DataFrame]:
         return {n: r.changelog for n, r in self.relations.items()}
 
+    def stores(self) -> dict[str, str]:
+        """The name of each table's store: its own, or its entity's."""
+        return {n: self.relations[n].store or getattr(e, "store", None) or n for n, e in self.topology.entities.items() if isinstance(e, Table | GlobalTable)}
+
+    def open_stores(self) -> list[str]:
+        """Makes a temporary view of the latest rows of every table, under the name of its store."""
+        held = self.stores()
+        if len(set(held.values())) < len(held):
+            raise ValueError("two tables have one store")
+        for n, store in held.items():
+            self.snapshot(n).createOrReplaceTempView(store)
+        return sorted(held.values())
+
     def collect(self, limit: int | None = None) -> dict[str, list]:
         """All entities' rows in order of time, for tests and experiments on small inputs."""
         frames = {n: df.orderBy("ts", "seq") for n, df in self.results().items()}
@@ -45,9 +60,11 @@ class Result:
                 df.write.mode("overwrite").parquet(f"{folder}/{e.name}")
 
 
-def _small(relation: Relation, most: int) -> bool:
-    """Whether a lookup table is within the rows that may be broadcast; stops counting beyond them."""
-    return relation.changelog.limit(most + 1).count() <= most
+def small(table: DataFrame, entity: GlobalTable) -> bool:
+    """Whether a lookup table's rows are as few, and as small, as may be broadcast; reads no more of it than that."""
+    some = table.limit(entity.broadcast_rows + 1)
+    n, size = some.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("key", "value"))))).first()
+    return n <= entity.broadcast_rows and (size or 0) <= entity.broadcast_bytes
 
 
 def build(topology: Topology, name: str, parents: list[tuple[str, Relation]], made: dict[str, Relation]) -> Relation:
@@ -62,8 +79,8 @@ def build(topology: Topology, name: str, parents: list[tuple[str, Relation]], ma
     if found:
         names, join = found
         ordered = [made[n] for n in names]
-        small = all(_small(made[n], topology.entities[n].broadcast_rows) for n in names if isinstance(topology.entities[n], GlobalTable))
-        source = join_all(ordered, join, small)
+        fits = all(small(made[n].snapshot(), topology.entities[n]) for n in names if isinstance(topology.entities[n], GlobalTable))
+        source = join_all(ordered, join, fits)
     elif len(relations) > 1:
         source = merge(relations)
     else:
@@ -76,13 +93,19 @@ def build(topology: Topology, name: str, parents: list[tuple[str, Relation]], ma
 
 
 def run(topology: Topology, inputs: Mapping[str, DataFrame], spark: SparkSession | None = None) -> Result:
-    """Compiles a topology over ``inputs``: rows for any entity, added to what it computes."""
+    """Compiles a topology over ``inputs``: rows for any entity, added to what it computes.
+
+    Rows for a windowed table have its windows in the column win, or get those that hold them.
+    """
     topology.validated()
     made: dict[str, Relation] = {}
     for name in graph.order(topology.workflow):
         parents = [(n, made[n]) for n in graph.parents(topology.workflow, name)]
         seeded = inputs.get(name)
         if seeded is not None:
+            window = getattr(topology.entities[name], "window", None)
+            if window is not None and "win" not in seeded.columns:
+                seeded = assigned(seeded, window)
             seeded = Relation("global" if isinstance(topology.entities[name], GlobalTable) else "table" if isinstance(topology.entities[name], Table) else "stream", seeded)
         if name in topology.overrides:
             out = topology.overrides[name](topology.entities[name], [r for _, r in parents], made)
@@ -98,9 +121,3 @@ def run(topology: Topology, inputs: Mapping[str, DataFrame], spark: SparkSession
             own = made[name]
             made[name] = Relation(own.kind, own.changelog.unionByName(seeded.changelog))
     return Result(topology, made)
-
-
-def named_store(topology: Topology, name: str) -> str:
-    """The store of a table: its own name for it, or the entity's."""
-    entity = topology.entities[name]
-    return getattr(entity, "store", None) or name

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import shutil
 import subprocess
+import tempfile
+import webbrowser
 from collections.abc import Callable, Mapping
 from pathlib import Path
 
@@ -55,3 +57,11 @@ def save(topology: Topology, path: str, **options) -> Path:
         raise RuntimeError("Graphviz is not installed: save to a .dot file instead")
     subprocess.run(["dot", f"-T{target.suffix[1:]}", "-o", str(target)], input=text.encode(), check=True)
     return target
+
+
+def view(topology: Topology, *, opener: Callable[[str], object] = webbrowser.open, **options) -> Path:
+    """Shows the topology in the user's viewer: the rendered image, or DOT text where Graphviz isn't installed; the file's path."""
+    name = "topology.png" if shutil.which("dot") else "topology.dot"
+    target = save(topology, f"{tempfile.mkdtemp()}/{name}", **options)
+    opener(target.as_uri())
+    return target
