@@ -7,12 +7,18 @@ from pyspark.sql import types as T
 
 from weirflow.functions import xform as X
 from weirflow.plans.batch import run
-from weirflow.plans.model import Agg, GlobalTable, Join, JoinWindow, SessionWindow, Stream, Table, TimeWindow, Topic, Topology
+from weirflow.plans.model import Agg, GlobalTable, Join, JoinWindow, SessionWindow, Stream, Suppress, Table, TimeWindow, Topic, Topology
 from weirflow.plans.workflow import dedupe_entities, with_dedupe
 from weirflow.queries import chain, joined, stream_of, table_of
 from weirflow.sources.io import stream_topic
 from weirflow.streaming.compile import StreamTable, compile_streams
 
+
+
+def fold():
+    return Agg.fold(F.lit(0).cast("long"), lambda acc, k, v: (acc * 31 + v) % 1009)
+
+
 SUM = StreamTable(0, lambda acc, v: acc + v, T.LongType(), lambda acc, v: acc - v)
 
 
@@ -59,7 +65,7 @@ def test_merge_and_fan_in(spark, tmp_path):
 @pytest.mark.parametrize("window", [TimeWindow(100), TimeWindow(100, 50), SessionWindow(100)])
 def test_windowed_aggregates_close_with_the_watermark(spark, tmp_path, window):
     feed = Feed(spark, tmp_path / "in").put(("k", 1, 1000), ("k", 2, 1050), ("j", 7, 1060)).put(("k", 3, 1500)).put(("z", 0, 90_000))
-    topology = table_of(Table(lambda k, v: k, Agg.sum(), window))
+    topology = table_of(Table(lambda k, v: k, Agg.sum(), window, Suppress()))
     got = streamed(spark, topology, {"in": feed.stream()}, tmp_path).groupBy("key").agg(F.sum("value").alias("v")).where("key <> 'z'").collect()
     want = run(topology, {"in": feed.batch()}).snapshot("table").groupBy("key").agg(F.sum("value").alias("v")).where("key <> 'z'").collect()
     assert sorted(got) == sorted(want)
@@ -135,4 +141,125 @@ def test_dedupe_and_restart_from_a_checkpoint(spark, tmp_path):
 def test_a_running_table_needs_its_fold(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in").put(("k", 1, 0))
     with pytest.raises(KeyError, match="StreamTable"):
-        compile_streams(table_of(Table(lambda k, v: k, Agg.sum())), {"in": feed.stream()})
+        compile_streams(table_of(Table(lambda k, v: k, fold())), {"in": feed.stream()})
+
+
+SEVERAL = Agg.several(n=Agg.count(), total=Agg.sum(), low=Agg.min(), high=Agg.max(), mean=Agg.avg(), last=Agg.latest(), each=Agg.collect())
+
+
+@pytest.mark.parametrize("window", [None, TimeWindow(100), TimeWindow(100, 50), SessionWindow(100)])
+@pytest.mark.parametrize("initial", [None, {"total": 10, "low": -5, "each": [9]}])
+def test_each_update_of_built_in_aggregates(spark, tmp_path, window, initial):
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 10), ("k", 2, 60), ("j", 7, 70)).put(("k", 3, 130), ("k", None, 140)).put(("k", 4, 500), ("k", 0, 510))
+    topology = table_of(Table(lambda k, v: k, SEVERAL, window, initial=initial))
+    assert timed(streamed(spark, topology, {"in": feed.stream()}, tmp_path)) == timed(run(topology, {"in": feed.batch()})["out"])
+
+
+@pytest.mark.parametrize("agg", [fold, lambda: SEVERAL, Agg.collect])
+def test_closed_windows_of_folds_and_collections(spark, tmp_path, agg):
+    feed = Feed(spark, tmp_path / "in").put(("k", 2, 1050), ("k", 1, 1000), ("j", 7, 1060)).put(("k", 3, 1500)).put(("z", 0, 90_000))
+    topology = table_of(Table(lambda k, v: k, agg(), TimeWindow(100, 50), Suppress()))
+    plain = lambda df: sorted((r["key"], str(r["value"])) for r in df.where("key <> 'z'").collect())
+    assert plain(streamed(spark, topology, {"in": feed.stream()}, tmp_path)) == plain(run(topology, {"in": feed.batch()}).snapshot("table"))
+
+
+def test_hopping_windows_begin_with_the_epoch(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 2, 10)).put(("z", 0, 90_000))
+    for suppress in (None, Suppress()):
+        topology = table_of(Table(lambda k, v: k, Agg.sum(), TimeWindow(100, 50), suppress))
+        out = streamed(spark, topology, {"in": feed.stream()}, tmp_path / str(suppress)).where("key = 'k'")
+        assert out.count() == run(topology, {"in": feed.batch()}).snapshot("table").where("key = 'k'").count() == 1
+
+
+def test_each_update_of_a_windowed_fold(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 2, 10), ("k", 3, 60)).put(("k", 4, 110))
+    topology = table_of(Table(lambda k, v: k, fold(), TimeWindow(100)))
+    tables = {"table": StreamTable(0, lambda acc, v: (acc * 31 + v) % 1009, T.LongType())}
+    assert timed(streamed(spark, topology, {"in": feed.stream()}, tmp_path, tables)) == timed(run(topology, {"in": feed.batch()})["out"])
+
+
+def test_updates_held_back_for_a_time(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 10), ("k", 2, 60), ("j", 7, 70)).put(("k", 3, 130)).put(("k", 4, 90_000), ("z", 0, 90_000)).put(("z", 0, 190_000))
+    topology = table_of(Table(lambda k, v: k, Agg.sum(), None, Suppress("time_limit", 100)))
+    keep = lambda df: [x for x in timed(df) if x[0] != "z"]
+    assert keep(streamed(spark, topology, {"in": feed.stream()}, tmp_path)) == keep(run(topology, {"in": feed.batch()})["out"])
+
+
+@pytest.mark.parametrize("flatten", [False, True])
+def test_values_of_many_inputs_nest_as_in_batch(spark, tmp_path, flatten):
+    feeds = {f"in{i}": Feed(spark, tmp_path / f"in{i}").put(("k", i, 10 * i), ("j", i + 9, 5)) for i in range(4)}
+    names = [f"t{i}" for i in range(4)]
+    entities = {n: Topic(n) for n in feeds} | {n: Table() for n in names} | {"j": Table(), "out": Topic("out")}
+    topology = Topology([*zip(feeds, names, strict=True), *((n, "j") for n in names), ("j", "out")], entities, {tuple(names): Join("inner", flatten=flatten)})
+    got = streamed(spark, topology, {n: f.stream() for n, f in feeds.items()}, tmp_path)
+    last = {r["key"]: r["value"] for r in got.orderBy("ts", "seq").collect()}
+    assert last == {r["key"]: r["value"] for r in run(topology, {n: f.batch() for n, f in feeds.items()}).snapshot("j").collect()}
+
+
+def test_a_topic_between_is_read_from_storage(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 0)).put(("k", 2, 10))
+    topology = chain({"in": Topic("in"), "a": Stream([X.transform_value(lambda v: v + 1)]), "mid": Topic("mid"), "b": Stream([X.transform_value(lambda v: v * 10)]), "out": Topic("out")})
+    plan = compile_streams(topology, {"in": feed.stream()}, folder=str(tmp_path / "topics"))
+    plan.start(checkpoints=str(tmp_path / "ck"), once=True)
+    plan.await_all()
+    want = run(topology, {"in": feed.batch()})
+    for n in ("mid", "out"):
+        assert timed(spark.read.parquet(str(tmp_path / "topics" / n))) == timed(want[n])
+    plan = plan.frames["out"]._jdf.queryExecution().analyzed().toString()
+    assert "topics/mid" in plan
+
+
+def test_grace_needs_a_watermark_that_is_as_late(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 0))
+    topology = table_of(Table(lambda k, v: k, Agg.sum(), TimeWindow(100, grace=5000), Suppress()))
+    with pytest.raises(ValueError, match="grace of 5000"):
+        compile_streams(topology, {"in": feed.stream(late="1 second")})
+    compile_streams(topology, {"in": feed.stream(late="5 seconds")})
+    bare = spark.readStream.schema("key string, value long, ts timestamp, seq long").parquet(feed.path)
+    plan = compile_streams(topology, {"in": bare})
+    assert plan.frames["in"].schema["ts"].metadata["spark.watermarkDelayMs"] == 5000
+
+
+def test_late_rows_within_the_grace_count(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 50)).put(("k", 2, 4000)).put(("k", 5, 60)).put(("z", 0, 90_000)).put(("z", 0, 190_000))
+    bare = spark.readStream.schema("key string, value long, ts timestamp, seq long").option("maxFilesPerTrigger", 1).parquet(feed.path)
+    topology = table_of(Table(lambda k, v: k, Agg.sum(), TimeWindow(100, grace=5000), Suppress()))
+    got = streamed(spark, topology, {"in": bare}, tmp_path).where("key = 'k'").collect()
+    assert sorted(r["value"] for r in got) == [2, 6]
+
+
+def test_failures_are_told(spark, tmp_path):
+    import time
+
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 0))
+    topology = stream_of(X.transform_value(lambda v: F.raise_error(F.lit("no such luck")).cast("long")))
+    plan, told = compile_streams(topology, {"in": feed.stream()}), []
+    plan.start(str(tmp_path / "out"), str(tmp_path / "ck"), once=True, on_error=lambda name, why: told.append((name, why)))
+    with pytest.raises(Exception, match="no such luck"):
+        plan.await_all()
+    for _ in range(50):
+        if told:
+            break
+        time.sleep(0.2)
+    plan.stop()
+    assert told and told[0][0] == "out" and "no such luck" in told[0][1]
+
+
+def test_state_of_silent_keys_goes(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 1, 0)).put(("k", 2, 10))
+    topology = table_of(Table(lambda k, v: k, Agg.sum()))
+    plan = compile_streams(topology, {"in": feed.stream()}, ttl_ms=3_600_000)
+    plan.start(str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
+    plan.await_all()
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()) == [1, 3]
+
+
+def test_eager_join_forgets_what_the_watermark_has_passed(spark, tmp_path):
+    a = Feed(spark, tmp_path / "a").put(("k", 1, 1000)).put(("z", 0, 90_000)).put(("z", 1, 180_000))
+    b = Feed(spark, tmp_path / "b").put(("k", 8, 1050)).put(("y", 0, 90_000)).put(("y", 1, 180_000))
+    topology = joined(Stream(), Stream(), Join("left", JoinWindow(100), eager=True))
+    plan = compile_streams(topology, {"l": a.stream(), "r": b.stream()})
+    (query,) = plan.start(str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
+    plan.await_all()
+    assert ("k" in {r["key"] for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()})
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6

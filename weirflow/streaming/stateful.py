@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from weirflow.plans.model import Aggregation
+
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TEXT = T.StructType([T.StructField("v", T.StringType())])
 
@@ -31,13 +33,16 @@ def _value(text: str | None) -> Any:
 
 
 class _Keyed(StatefulProcessor):
-    """One text of state for each key; ``step`` maps (state, side, value) to (state, output rows)."""
+    """One text of state for each key; ``step`` maps (state, side, value) to (state, output rows).
+
+    With ``ttl_ms`` the state of a key that gets no row for so long, in processing time, is dropped.
+    """
 
-    def __init__(self, step: Callable[[Any, int, Any], tuple[Any, list[Any]]]) -> None:
-        self.step = step
+    def __init__(self, step: Callable[[Any, int, Any], tuple[Any, list[Any]]], ttl_ms: int | None = None) -> None:
+        self.step, self.ttl_ms = step, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", _TEXT)
+        self.state = handle.getValueState("state", _TEXT, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -45,12 +50,15 @@ class _Keyed(StatefulProcessor):
         frame = pd.concat(list(rows)).sort_values(["ts", "side", "seq"], kind="stable")
         out = []
         for side, text, ts, seq in zip(frame["side"], frame["j"], frame["ts"], frame["seq"], strict=True):
-            state, made = self.step(state, int(side), _value(text))
+            state, made = self._next(state, int(side), text, ts, int(seq))
             out += [(key[0], json.dumps({"v": v}), ts, int(seq)) for v in made]
         self.state.update((json.dumps(state),))
         if out:
             yield pd.DataFrame(out, columns=["k", "j", "ts", "seq"])
 
+    def _next(self, state: Any, side: int, text: str | None, ts: pd.Timestamp, seq: int) -> tuple[Any, list[Any]]:
+        return self.step(state, side, _value(text))
+
     def close(self) -> None:
         pass
 
@@ -65,13 +73,16 @@ def _typed(df: DataFrame, key: T.DataType, value: T.DataType) -> DataFrame:
     return df.select(k.alias("key"), v.alias("value"), "ts", "seq")
 
 
-def keyed(rows: DataFrame, step: Callable[[Any, int, Any], tuple[Any, list[Any]]], key: T.DataType, value: T.DataType) -> DataFrame:
+def _with_state(rows: DataFrame, processor: StatefulProcessor, ttl_ms: int | None) -> DataFrame:
+    return rows.groupBy("k").transformWithStateInPandas(processor, OUT, "append", "processingTime" if ttl_ms else "none")
+
+
+def keyed(rows: DataFrame, step: Callable[[Any, int, Any], tuple[Any, list[Any]]], key: T.DataType, value: T.DataType, ttl_ms: int | None = None) -> DataFrame:
     """Runs ``step`` over the rows of each key; needs the RocksDB state store."""
-    out = rows.groupBy("k").transformWithStateInPandas(_Keyed(step), OUT, "append", "none")
-    return _typed(out, key, value)
+    return _typed(_with_state(rows, _Keyed(step, ttl_ms), ttl_ms), key, value)
 
 
-def running(df: DataFrame, init: Any, add: Callable[[Any, Any], Any], value: T.DataType) -> DataFrame:
+def running(df: DataFrame, init: Any, add: Callable[[Any, Any], Any], value: T.DataType, ttl_ms: int | None = None) -> DataFrame:
     """A fold's value after each row; rows with a null value are skipped."""
 
     def step(state: Any, side: int, v: Any) -> tuple[Any, list[Any]]:
@@ -80,14 +91,135 @@ def running(df: DataFrame, init: Any, add: Callable[[Any, Any], Any], value: T.D
         acc = add(init if state is None else state["a"], v)
         return {"a": acc}, [acc]
 
-    return keyed(as_json(df.where("key is not null")), step, df.schema["key"].dataType, value)
+    return keyed(as_json(df.where("key is not null")), step, df.schema["key"].dataType, value, ttl_ms)
+
+
+class Fold:
+    """A built-in aggregation as plain Python: a part for each row, parts merge, and have a value."""
+
+    def __init__(self, agg: Aggregation, initial: Any = None) -> None:
+        self.kind, self.initial = agg.kind, initial
+        self.parts = [(n, Fold(a, (initial or {}).get(n))) for n, a in agg.parts]
+
+    def one(self, x: Any, ms: int, seq: int) -> Any:
+        if self.parts:
+            return [p.one(x[n], ms, seq) for n, p in self.parts]
+        return {"count": 1, "avg": [x, 1], "latest": [ms, seq, x], "collect": [[ms, seq, x]]}.get(self.kind, x)
+
+    def merge(self, a: Any, b: Any) -> Any:
+        if self.parts:
+            return [p.merge(x, y) for (_, p), x, y in zip(self.parts, a, b, strict=True)]
+        if self.kind in ("sum", "count"):
+            return a + b
+        if self.kind == "avg":
+            return [a[0] + b[0], a[1] + b[1]]
+        if self.kind == "collect":
+            return sorted(a + b, key=lambda e: e[:2])
+        return max(a, b, key=lambda e: e[:2]) if self.kind == "latest" else {"min": min, "max": max}[self.kind](a, b)
+
+    def value(self, a: Any) -> Any:
+        if self.parts:
+            return {n: p.value(x) for (n, p), x in zip(self.parts, a, strict=True)}
+        if self.kind == "avg":
+            return a[0] / a[1]
+        if self.kind == "latest":
+            return a[2]
+        if self.kind == "collect":
+            return [*(self.initial or []), *(e[2] for e in a)]
+        if self.initial is None:
+            return a
+        return {"sum": lambda: a + self.initial, "count": lambda: a + self.initial, "min": lambda: min(a, self.initial), "max": lambda: max(a, self.initial)}[self.kind]()
+
+
+class _Windows(_Keyed):
+    """Windowed aggregates of a key, a row for each row that comes.  ``gap``: sessions, which merge; else the key has one window."""
+
+    def __init__(self, fold: Fold, gap: int | None, ttl_ms: int | None) -> None:
+        super().__init__(None, ttl_ms)
+        self.fold, self.gap = fold, gap
+
+    def _next(self, state: Any, side: int, text: str | None, ts: pd.Timestamp, seq: int) -> tuple[Any, list[Any]]:
+        ms = int(ts.value // 1_000_000)
+        first, last, held, rest = ms, ms, self.fold.one(_value(text), ms, seq), []
+        for a, b, other in state or ():
+            if self.gap is None or a - self.gap <= last and first <= b + self.gap:
+                first, last, held = min(first, a), max(last, b), self.fold.merge(other, held)
+            else:
+                rest.append([a, b, other])
+        return [*rest, [first, last, held]], [{"x": self.fold.value(held), "first": first, "last": last}]
+
+
+def windowed(rows: DataFrame, agg: Aggregation, value: T.DataType, *, gap: int | None = None, initial: Any = None, ttl_ms: int | None = None) -> DataFrame:
+    """A windowed aggregate's value after each row (key, value, ts, seq and, without ``gap``, win).
+
+    A session's window is as far as it is known when the row comes.
+    """
+    of = rows if gap is not None else rows.withColumn("key", F.struct("key", "win"))
+    out = _with_state(as_json(of), _Windows(Fold(agg, initial), gap, ttl_ms), ttl_ms)
+    told = T.StructType([T.StructField("x", value), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    out = _typed(out, of.schema["key"].dataType, told)
+    if gap is None:
+        return out.select("key.key", F.col("value.x").alias("value"), "ts", "seq", "key.win")
+    win = F.struct(F.timestamp_millis("value.first").alias("start"), F.timestamp_millis(F.col("value.last") + gap).alias("end"))
+    return out.select("key", F.col("value.x").alias("value"), "ts", "seq", win.alias("win"))
+
+
+def totals(rows: DataFrame, agg: Aggregation, value: T.DataType, *, initial: Any = None, ttl_ms: int | None = None) -> DataFrame:
+    """A built-in aggregate's value after each row of a key."""
+    out = _with_state(as_json(rows), _Windows(Fold(agg, initial), None, ttl_ms), ttl_ms)
+    return _typed(out, rows.schema["key"].dataType, T.StructType([T.StructField("x", value)])).withColumn("value", F.col("value.x"))
+
+
+class _Limited(StatefulProcessor):
+    """Holds a key's last row of a period of ``ms`` until a row of a later one comes or the watermark passes its end."""
+
+    def __init__(self, ms: int) -> None:
+        self.ms = ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", _TEXT)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = json.loads(self.state.get()[0]) if self.state.exists() else None
+        frame = pd.concat(list(rows)).sort_values(["ts", "seq"], kind="stable")
+        out = []
+        for text, ts, seq in zip(frame["j"], frame["ts"], frame["seq"], strict=True):
+            text, us = None if _value(text) is None else text, int(ts.value // 1000)
+            if held and us // 1000 // self.ms > held[1] // 1000 // self.ms:
+                out.append(held)
+            held = [text, us, int(seq)]
+        end = (held[1] // 1000 // self.ms + 1) * self.ms
+        self.state.update((json.dumps(held),))
+        self.handle.registerTimer(end)
+        if out:
+            yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held = json.loads(self.state.get()[0]) if self.state.exists() else None
+        if held and (held[1] // 1000 // self.ms + 1) * self.ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield self._rows(key, [held])
+
+    def _rows(self, key: Any, held: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], j, pd.Timestamp(us, unit="us"), seq) for j, us, seq in held], columns=["k", "j", "ts", "seq"])
+
+    def close(self) -> None:
+        pass
+
+
+def limited(df: DataFrame, ms: int) -> DataFrame:
+    """The last row of each key and period of ``ms``, once the period is over; needs a watermark."""
+    with_win = "win" in df.columns
+    of = df.withColumn("key", F.struct("key", "win")) if with_win else df
+    out = _typed(as_json(of).groupBy("k").transformWithStateInPandas(_Limited(ms), OUT, "append", "eventTime"), of.schema["key"].dataType, df.schema["value"].dataType)
+    return out.select("key.key", "value", "ts", "seq", "key.win") if with_win else out
 
 
 def _pair_type(left: DataFrame, right: DataFrame) -> T.StructType:
     return T.StructType([T.StructField("_1", left.schema["value"].dataType), T.StructField("_2", right.schema["value"].dataType)])
 
 
-def as_of(stream: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
+def as_of(stream: DataFrame, table: DataFrame, how: str = "left", ttl_ms: int | None = None) -> DataFrame:
     """Each event with the table's latest value so far; an update of the same time counts."""
 
     def step(state: Any, side: int, v: Any) -> tuple[Any, list[Any]]:
@@ -97,10 +229,10 @@ def as_of(stream: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
         return state, [] if how == "inner" and r is None else [{"_1": v, "_2": r}]
 
     rows = as_json(table, 0).unionByName(as_json(stream, 1))
-    return keyed(rows, step, stream.schema["key"].dataType, _pair_type(stream, table))
+    return keyed(rows, step, stream.schema["key"].dataType, _pair_type(stream, table), ttl_ms)
 
 
-def table_table(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+def table_table(left: DataFrame, right: DataFrame, how: str, ttl_ms: int | None = None) -> DataFrame:
     """A row for each update of either table with both latest values."""
 
     def step(state: Any, side: int, v: Any) -> tuple[Any, list[Any]]:
@@ -111,26 +243,29 @@ def table_table(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         return state, [{"_1": a, "_2": b}] if there else []
 
     rows = as_json(left, 0).unionByName(as_json(right, 1))
-    return keyed(rows, step, left.schema["key"].dataType, _pair_type(left, right))
+    return keyed(rows, step, left.schema["key"].dataType, _pair_type(left, right), ttl_ms)
 
 
-def replaced(table: DataFrame) -> DataFrame:
+def replaced(table: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Each update as value (new, old): what a retracting aggregate adds and takes out."""
 
     def step(state: Any, side: int, v: Any) -> tuple[Any, list[Any]]:
         return {"v": v}, [{"_1": v, "_2": state["v"] if state else None}]
 
-    return keyed(as_json(table), step, table.schema["key"].dataType, _pair_type(table, table))
+    return keyed(as_json(table), step, table.schema["key"].dataType, _pair_type(table, table), ttl_ms)
 
 
 class _Eager(StatefulProcessor):
-    """Stream-stream join that emits an unmatched row at once; keeps rows within the window of the latest time."""
+    """Stream-stream join that emits an unmatched row at once.
+
+    Rows are kept within the window of their key's latest time, and at most until the watermark has passed it.
+    """
 
     def __init__(self, before: int, after: int, how: str) -> None:
         self.before, self.after, self.how = before, after, how
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", _TEXT)
+        self.handle, self.state = handle, handle.getValueState("state", _TEXT)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else None
@@ -160,13 +295,28 @@ class _Eager(StatefulProcessor):
                 if not partners and (self.how == "outer" or self.how == "left" and s == 0):
                     out.append((key[0], json.dumps({"v": {"_1": v, "_2": None} if s == 0 else {"_1": None, "_2": v}}), pd.Timestamp(ms, unit="ms"), seq))
             latest, i = now, j
-        if self.after >= 0:
-            kept[0] = [e for e in kept[0] if e[0] + self.after >= latest]
-        kept[1] = [e for e in kept[1] if e[0] + self.before >= latest]
-        self.state.update((json.dumps(kept),))
+        kept = self._within(kept, latest)
+        if kept[0] or kept[1]:
+            self.state.update((json.dumps(kept),))
+            self.handle.registerTimer(latest + max(self.before, self.after, 0) + 1)
+        else:
+            self.state.clear()
         if out:
             yield pd.DataFrame(out, columns=["k", "j", "ts", "seq"])
 
+    def _within(self, kept: list[list[list[Any]]], now: int) -> list[list[list[Any]]]:
+        """The rows of either side that a row at ``now`` or later can still join."""
+        return [[e for e in side if e[0] + reach >= now] for side, reach in zip(kept, (self.after, self.before), strict=True)]
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            kept = self._within(json.loads(self.state.get()[0]), expiredTimerInfo.getExpiryTimeInMs())
+            if kept[0] or kept[1]:
+                self.state.update((json.dumps(kept),))
+            else:
+                self.state.clear()
+        yield pd.DataFrame({"k": pd.Series([], dtype=str), "j": pd.Series([], dtype=str), "ts": pd.Series([], dtype="datetime64[ns]"), "seq": pd.Series([], dtype="int64")})
+
     def close(self) -> None:
         pass
 
@@ -174,5 +324,5 @@ class _Eager(StatefulProcessor):
 def eager_join(left: DataFrame, right: DataFrame, before: int, after: int, how: str) -> DataFrame:
     """Rows of two streams within a window; unmatched ones (left, outer) as soon as they come."""
     rows = as_json(left, 0).unionByName(as_json(right, 1))
-    out = rows.groupBy("k").transformWithStateInPandas(_Eager(before, after, how), OUT, "append", "none")
+    out = rows.groupBy("k").transformWithStateInPandas(_Eager(before, after, how), OUT, "append", "eventTime")
     return _typed(out, left.schema["key"].dataType, _pair_type(left, right))
