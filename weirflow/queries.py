@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import xform as X
-from weirflow.operators.joins import stream_stream
-from weirflow.operators.relation import canonical
+from weirflow.operators.joins import join_all, stream_stream
+from weirflow.operators.relation import Relation, canonical
 from weirflow.plans.batch import Result, run
 from weirflow.plans.model import Agg, GlobalTable, Join, JoinWindow, SessionWindow, Stream, Suppress, Table, TimeWindow, Topic, Topology
 from weirflow.plans.workflow import dedupe_entities, with_dedupe
+from weirflow.sources.io import decoded, encoded, read_topic, shared_folder
+from weirflow.streaming.compile import compile_streams
+from weirflow.streaming.stateful import STATE_PROVIDER
 
 HOUR = 3_600_000
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -229,11 +233,37 @@ def table_changelog_sum(spark, d):
 
 @query(f"select key, count(*) as n, sum(value)::bigint as total, min(value) as low, max(value) as high, avg(value) as mean, arg_max(value, seq) as last from {EV} group by key")
 def keyed_aggregates(spark, d):
-    out = None
-    for name, agg in (("n", Agg.count()), ("total", Agg.sum()), ("low", Agg.min()), ("high", Agg.max()), ("mean", Agg.avg()), ("last", Agg.latest())):
-        one = run(table_of(Table(lambda k, v: k, agg)), {"in": events(spark, d)}).snapshot("table").select("key", F.col("value").alias(name))
-        out = one if out is None else out.join(one, "key")
-    return out
+    """Several aggregates of one table, in one pass."""
+    each = Agg.several(n=Agg.count(), total=Agg.sum(), low=Agg.min(), high=Agg.max(), mean=Agg.avg(), last=Agg.latest())
+    return run(table_of(Table(lambda k, v: k, each)), {"in": events(spark, d)}).snapshot("table").select("key", "value.*")
+
+
+@query(f"select key, 100 + sum(value)::bigint as total, 5 + count(*) as n, least(min(value), 50) as low, greatest(max(value), 50000) as high from {EV} group by key")
+def aggregate_initial(spark, d):
+    """Aggregates that start from a value of their own."""
+    each = Agg.several(total=Agg.sum(), n=Agg.count(), low=Agg.min(), high=Agg.max())
+    start = {"total": 100, "n": 5, "low": 50, "high": 50_000}
+    return run(table_of(Table(lambda k, v: k, each, initial=start)), {"in": events(spark, d)}).snapshot("table").select("key", "value.*")
+
+
+@query(f"select key, (7 + sum(value) over (partition by key order by ts, seq rows unbounded preceding))::bigint as value, epoch_us(ts) as ts_us from {EV}")
+def aggregate_initial_changelog(spark, d):
+    return flat(run(table_of(Table(lambda k, v: k, Agg.sum(), initial=7)), {"in": events(spark, d)})["out"])
+
+
+@query(f"select key, arg_max(value, seq) as value from {EV} group by key")
+def second_store(spark, d):
+    """A table under another store's name has the same rows."""
+    topology = chain({"in": Topic("in"), "a": Table(store="first"), "b": Table(store="second"), "out": Topic("out")})
+    return run(topology, {"in": events(spark, d)}).snapshot("b").select("key", "value")
+
+
+@query(f"select key, sum(value)::bigint as value from {EV} group by key")
+def store_view(spark, d):
+    """A table read by the name of its store."""
+    result = run(table_of(Table(lambda k, v: k, Agg.sum(), store="totals_by_user")), {"in": events(spark, d)})
+    result.open_stores()
+    return spark.table("totals_by_user").select("key", "value")
 
 
 @query(f"select value % 7 as key, sum(value)::bigint as value from {EV} group by 1")
@@ -297,6 +327,37 @@ def table_agg_max(spark, d):
     return run(topology, {"in": typed_events(spark, d)}).snapshot("kinds").select("key", "value")
 
 
+AVG = "select kind as key, avg(cents) as value from " + LATEST + " group by 1"
+
+
+def by_kind(spark, d, agg) -> Result:
+    """An aggregate over each user's latest event, by its type."""
+    topology = chain({"in": Topic("in"), "users": Table(), "kinds": Table(lambda k, v: v["kind"], agg), "out": Topic("out")})
+    return run(topology, {"in": typed_events(spark, d)})
+
+
+@query(AVG)
+def table_agg_avg_retract(spark, d):
+    return by_kind(spark, d, Agg.avg(lambda k, v: v["cents"])).snapshot("kinds").select("key", "value")
+
+
+@query(DELTAS + "select key, sum(v) over w / nullif(sum(sign) over w, 0) as value, epoch_us(ts) as ts_us from x window w as (partition by key order by ts, seq, sign rows unbounded preceding)")
+def table_agg_avg_retract_changelog(spark, d):
+    """A group that loses its last row has no average."""
+    return flat(by_kind(spark, d, Agg.avg(lambda k, v: v["cents"]))["out"])
+
+
+@query(DELTAS + """, lives as (select event_type as kind, cast(round(value*100) as bigint) as cents, event_id as born, lead(event_id) over (partition by user_id order by ts, event_id) as gone from events)
+select x.key, x.sign, max(cents) as value, min(cents) as low, epoch_us(x.ts) as ts_us from x
+left join lives on kind = x.key and (born < x.seq or x.sign = 1 and born = x.seq) and (gone is null or gone > x.seq) group by x.key, x.sign, x.ts, x.seq""")
+def table_agg_max_changelog(spark, d):
+    """Maximum and minimum of the rows that are in a group, whenever one comes or leaves."""
+    changes = by_kind(spark, d, Agg.several(high=Agg.max(lambda k, v: v["cents"]), low=Agg.min(lambda k, v: v["cents"]), n=Agg.count()))["out"]
+    more = Window.partitionBy("key").orderBy("ts", "seq", F.monotonically_increasing_id())
+    sign = F.sign(F.col("value.n") - F.coalesce(F.lag("value.n").over(more), F.lit(0))).cast("int")
+    return changes.select("key", sign.alias("sign"), F.col("value.high").alias("value"), F.col("value.low").alias("low"), micros("ts", "ts_us"))
+
+
 # ---- windows -------------------------------------------------------------------------------
 
 
@@ -430,21 +491,18 @@ def with_global(spark, d, join: Join) -> DataFrame:
     return topology
 
 
-CUST = "(select c_custkey, c_nationkey::bigint as c_nationkey from customer where c_custkey % 2 = 0)"
-
-
-def even_customers(spark, d) -> DataFrame:
-    return customers(spark, d).where("key % 2 = 0")
+CUST = "(select c_custkey, c_nationkey::bigint as c_nationkey from customer)"
 
 
 @query(f"select o.key, o.value as a, c.c_nationkey as b, epoch_us(o.ts) as ts_us from {OR} o join {CUST} c on o.key = c.c_custkey")
 def global_inner(spark, d):
-    return flat(run(with_global(spark, d, Join("inner")), {"l": orders(spark, d), "r": even_customers(spark, d)})["out"], *pair())
+    return flat(run(with_global(spark, d, Join("inner")), {"l": orders(spark, d), "r": customers(spark, d)})["out"], *pair())
 
 
-@query(f"select o.key, o.value as a, c.c_nationkey as b, epoch_us(o.ts) as ts_us from {OR} o left join {CUST} c on o.key = c.c_custkey")
+@query(f"select o.key, o.value as a, c.n_name as b, epoch_us(o.ts) as ts_us from {OR} o left join nation c on o.key = c.n_nationkey")
 def global_left(spark, d):
-    return flat(run(with_global(spark, d, Join("left")), {"l": orders(spark, d), "r": even_customers(spark, d)})["out"], *pair())
+    """Most orders' customers are no nation's number, and have no name."""
+    return flat(run(with_global(spark, d, Join("left")), {"l": orders(spark, d), "r": nations(spark, d)})["out"], *pair())
 
 
 @query("select c_custkey as key, c_nationkey::bigint as a, n_name as b, 0::bigint as ts_us from customer join nation on c_nationkey = n_nationkey")
@@ -520,6 +578,12 @@ def many_sql(kinds: list[str], how: str) -> str:
     return f"select t0.key, {', '.join(f't{i}.value as v{i}' for i in range(len(kinds)))} from {first}"
 
 
+@query(f"select key, value, epoch_us(ts) as ts_us from {EV}")
+def unary_join(spark, d):
+    """A join of one input is that input."""
+    return flat(join_all([Relation("stream", events(spark, d))], Join("inner")).changelog)
+
+
 @query(many_sql(["purchase", "view", "click"], "inner"))
 def nary_join_3(spark, d):
     """Three inputs make one struct of three."""
@@ -558,6 +622,82 @@ def dedupe_by_id(spark, d):
     return flat(deduped(spark, d, typed_events(spark, d), lambda v: v["kind"]), F.col("value.kind").alias("kind"), F.col("value.cents").alias("cents"))
 
 
+# ---- storage and streams -------------------------------------------------------------------
+
+
+@query(f"select key, value + 1 as value, epoch_us(ts) as ts_us from {EV} union all select key, value * 2, epoch_us(ts) from {EV}")
+def topic_sink(spark, d):
+    """Two streams written to one topic, read back from storage."""
+    topology = Topology([("in", "a"), ("in", "b"), ("a", "out"), ("b", "out")], {"in": Topic("in"), "a": Stream([X.transform_value(lambda v: v + 1)]), "b": Stream([X.transform_value(lambda v: v * 2)]), "out": Topic("sums")})
+    folder = shared_folder(spark)
+    run(topology, {"in": events(spark, d)}).write(folder)
+    return flat(read_topic(spark, f"{folder}/sums"))
+
+
+@query("select user_id as key, event_type as kind, cast(round(value*100) as bigint) as cents from events")
+def topic_codec(spark, d):
+    """Keys and values as text, and back."""
+    rows = typed_events(spark, d)
+    back = decoded(encoded(rows), rows.schema["key"].dataType, rows.schema["value"].dataType)
+    return back.select("key", F.col("value.kind").alias("kind"), F.col("value.cents").alias("cents"))
+
+
+@query(f"select key, max(value)::bigint as value, count(*) as n from (select key, sum(value) over (partition by key, epoch_us(ts) // 3600000000 order by ts, seq rows unbounded preceding) as value from {EV}) group by key")
+def windowed_unwrap(spark, d):
+    """The updates of hourly sums as events of the plain key."""
+    each = Agg.several(value=Agg.max(), n=Agg.count())
+    topology = chain({"in": Topic("in"), "hours": Table(lambda k, v: k, Agg.sum(), TimeWindow(HOUR)), "updates": Stream(), "most": Table(lambda k, v: k, each), "out": Topic("out")})
+    return run(topology, {"in": events(spark, d)}).snapshot("most").select("key", "value.*")
+
+
+@query(f"select key, value, epoch_us(ts) // 3600000000 * 3600000000 as start_us from (select user_id as key, sum(round(value*100)::bigint) over (partition by user_id, epoch_us(ts) // 3600000000 order by ts, event_id rows unbounded preceding)::bigint as value, ts from events) union all select o_custkey, round(o_totalprice*100)::bigint, epoch_us(o_orderdate) // 3600000000 * 3600000000 from orders")
+def seeded_window(spark, d):
+    """Rows put straight into a windowed table, beside what it computes."""
+    topology = table_of(Table(lambda k, v: k, Agg.sum(), TimeWindow(HOUR)))
+    result = run(topology, {"in": events(spark, d), "table": orders(spark, d)})
+    return result["table"].select("key", "value", micros("win.start", "start_us"))
+
+
+def streamed(spark, topology: Topology, d: str, tables=None) -> DataFrame:
+    """What a stream over all events leaves in its only topic."""
+    raw = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")  # a pattern, as the table may be one file
+    source = canonical(raw, "user_id", cents("value"), "ts", "event_id").withWatermark("ts", "0 seconds")
+    folder, held = shared_folder(spark), spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, STATE_PROVIDER)
+    try:
+        plan = compile_streams(topology, {"in": source}, tables)
+        plan.start(f"{folder}/topics", f"{folder}/checkpoints", once=True)
+        plan.await_all()
+    finally:
+        spark.conf.set(STATE_STORE, held) if held else spark.conf.unset(STATE_STORE)
+    ((name, df),) = plan.sinks().items()
+    return spark.read.schema(df.schema).parquet(f"{folder}/topics/{name}")
+
+
+@query(f"select key, value + 1 as value, epoch_us(ts) as ts_us from {EV} where (value + 1) % 2 = 0")
+def streaming_steps(spark, d):
+    return flat(streamed(spark, stream_of(X.transform_value(lambda v: v + 1), X.value_pred(lambda v: v % 2 == 0)), d))
+
+
+@query(f"select key, sum(value)::bigint as value from {EV} group by key, epoch_us(ts) // 3600000000 having epoch_us(min(ts)) // 3600000000 * 3600000000 + 3600000000 <= (select max(epoch_us(ts)) from events)")
+def streaming_closed_windows(spark, d):
+    """Hourly sums, each when the watermark has passed its end."""
+    return streamed(spark, table_of(Table(lambda k, v: k, Agg.sum(), TimeWindow(HOUR), Suppress())), d).select("key", "value")
+
+
+@query(f"select key, (sum(value) over (partition by key, epoch_us(ts) // 3600000000 order by ts, seq rows unbounded preceding))::bigint as value, epoch_us(ts) as ts_us from {EV}")
+def streaming_each_update(spark, d):
+    """Hourly sums, after each event."""
+    return flat(streamed(spark, table_of(Table(lambda k, v: k, Agg.sum(), TimeWindow(HOUR))), d))
+
+
+@query(f"select key, value % 5 as value from {EV} group by 1, 2")
+def streaming_dedupe(spark, d):
+    entities, overrides = dedupe_entities("x")
+    topology = Topology([("in", "five"), *with_dedupe("x", "five", "out")], {"in": Topic("in"), "five": Stream([X.transform_value(lambda v: v % 5)]), "out": Topic("out"), **entities}, overrides=overrides)
+    return streamed(spark, topology, d).select("key", "value")
+
+
 @query(f"""select user_id as key, sum(c)::bigint as value from (select user_id, cast(round(value*100) as bigint) + 1 as c from events) where c % 2 = 0 group by user_id""")
 def flagship(spark, d):
     """Topic, stream with map and filter, table with group-by and sum, topic."""
