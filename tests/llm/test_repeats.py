@@ -145,6 +145,34 @@ def test_chunks_cover_the_text_and_resist_insertions(seed):
     assert sum(c in set(cut) for c in changed) >= len(cut) - 12
 
 
+def rolled(raw, bits, least, most):
+    """Chunks by the definition: the hash of every byte, one after another, and a loop over the bytes."""
+    h, ends, start = 0, [], 0
+    for i, byte in enumerate(raw):
+        h = (2 * h + int(chunks._GEAR[byte])) % 2**32
+        place = i + 1
+        character = place == len(raw) or raw[place] & 0xC0 != 0x80
+        if place - start >= least and character and h < 2 ** (32 - bits):
+            ends.append(place)
+            start = place
+        elif place - start == most:
+            back = place
+            while back > start + least and back < len(raw) and raw[back] & 0xC0 == 0x80:
+                back -= 1
+            ends.append(back)
+            start = back
+    return [e for e in ends if e < len(raw)] + [len(raw)] * (len(raw) > 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([2, 5, 12]))
+def test_chunks_against_a_rolling_loop(seed, bits):
+    rng = random.Random(seed)
+    raw = "".join(rng.choice(["wort ", "été ", "ñ", "x", "\n", "日本"]) for _ in range(rng.randrange(900))).encode()
+    data = np.frombuffer(raw, np.uint8)
+    assert chunks.chunk_ends(data, 0, len(raw), chunks.boundaries(data, bits), 32, 200) == rolled(raw, bits, 32, 200)
+
+
 def test_boundaries_do_not_depend_on_segments(monkeypatch):
     rng = random.Random(2)
     data = np.frombuffer(bytes(rng.randrange(32, 127) for _ in range(5000)), np.uint8)

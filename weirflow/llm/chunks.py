@@ -15,8 +15,11 @@ and alone it is a coincidence of a few words, unless the text has no other.
 Counts are combined before the shuffle and only digests that occur twice join
 the chunks, so a hot chunk is a matter of a join that Spark splits.
 
-Defined cases: null texts are empty and have no chunk; rows equal in key and
-text are one document; null keys come first; an empty table gives no rows.
+Defined cases: null and empty texts have no chunk; rows equal in key and text
+are one document, and all lose the same; null keys come first, then ascending
+ones, and among equal keys the order of the text hash; a very long text is cut
+as any other, in linear time; other columns, whatever their names, have no
+effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, sliced, utf8
+from weirflow.llm.common import Scratch, sliced, tune, utf8
 
 REACH = 32
 #: Bytes hashed at once.
@@ -102,6 +105,7 @@ def chunk_rows(texts: DataFrame, *, bits: int = 5, least: int = 32, most: int =
 
 def dedup_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", *, bits: int = 5, least: int = 32, most: int = 512, run: int | None = None) -> DataFrame:
     """key, n_bytes, n_chunks_again (chunks seen before), n_removed, spans (removed runs) and kept_text of each row."""
+    tune(docs.sparkSession)
     run = least if run is None else run
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
     chunks = chunk_rows(rows, bits=bits, least=least, most=most)
