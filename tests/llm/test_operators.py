@@ -49,6 +49,55 @@ def test_language_id_without_labels(spark, no_docs):
     assert language_id.identify_language(one, None).first()["lang_pred"] == "und"
 
 
+def naive_scores(model, window):
+    """The network's logits for one window of bytes, filter by filter and place by place."""
+    padded = [int(b) for b in window] + [0] * max(language_id.WIDTHS)
+    top = []
+    for f in range(model.kernel.shape[1]):
+        width = language_id.WIDTHS[f // language_id.FILTERS]
+        best = -np.inf
+        for p in range(language_id.WINDOW):
+            best = max(best, sum(float(model.embed[padded[p + i], d]) * float(model.kernel[i * language_id.DIMENSIONS + d, f]) for i in range(width) for d in range(language_id.DIMENSIONS)))
+        top.append(max(best + float(model.bias[f]), 0.0))
+    return np.array(top) @ model.out.astype(np.float64) + model.out_bias
+
+
+def test_convolution_against_a_naive_one(monkeypatch):
+    monkeypatch.setattr(language_id, "WINDOW", 24)
+    monkeypatch.setattr(language_id, "FILTERS", 2)
+    model = language_id.ByteCNN.fresh(["a", "b", "c"], 5)
+    rng = np.random.default_rng(1)
+    model.bias[:] = rng.normal(0, 0.2, model.bias.shape)
+    windows = rng.integers(0, 256, (5, 24)).astype(np.uint8)
+    windows[0, 10:] = 0
+    for window, got in zip(windows, model.log_softmax(windows), strict=True):
+        logits = naive_scores(model, window)
+        assert got == pytest.approx(logits - np.log(np.exp(logits).sum()), abs=1e-4)
+
+
+def test_gradients_against_differences(monkeypatch):
+    """One step of plain descent in the place of Adam's: what changes is the gradient."""
+    monkeypatch.setattr(language_id, "WINDOW", 16)
+    monkeypatch.setattr(language_id, "FILTERS", 2)
+    rng = np.random.default_rng(2)
+    windows, labels = rng.integers(1, 256, (6, 16)).astype(np.uint8), np.array([0, 1, 0, 1, 1, 0])
+    fresh = lambda: language_id.ByteCNN.fresh(["a", "b"], 9)
+    loss = lambda m: -m.log_softmax(windows)[np.arange(6), labels].mean()
+    before, after = fresh(), fresh()
+    after.fit(windows, labels, 1, 3)
+    assert loss(after) < loss(before)
+    for name, places in (("out", [(0, 0), (5, 1)]), ("bias", [(1,), (6,)]), ("kernel", [(0, 0), (9, 3), (17, 7)]), ("embed", [(int(windows[0, 3]), 2)])):
+        for at in places:
+            step = np.float32(2e-3)
+            up, down = fresh(), fresh()
+            getattr(up, name)[at] += step
+            getattr(down, name)[at] -= step
+            slope = (loss(up) - loss(down)) / (2 * step)
+            moved = float(getattr(after, name)[at] - getattr(before, name)[at])
+            if abs(slope) > 1e-3:  # Adam's first step goes against the gradient's sign, by its rate
+                assert np.sign(moved) == -np.sign(slope) and abs(moved) == pytest.approx(0.01, rel=0.05)
+
+
 def test_every_window_counts():
     model = language_id.ByteCNN.fresh(["a", "b"], 1)
     raw = np.frombuffer(bytes(random.Random(2).randrange(1, 256) for _ in range(1000)), np.uint8)
