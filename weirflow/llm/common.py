@@ -11,13 +11,24 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of whole texts that a Python worker takes at once; bounds its memory.
 ARROW_ROWS = 256
 
 
+def tune(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ARROW_ROWS rows at most.
+
+    Spark reads the setting when a plan runs, so it can't be put back before the caller's action.  Its own bound, by
+    bytes, lets an executor's buffers of whole texts grow too large beside a Parquet writer's.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches, which Spark bounds by bytes, in parts of ARROW_ROWS rows: what is made of a part at once stays small."""
+    """The batches in parts of ARROW_ROWS rows, whatever the session's setting: what is made of a part at once stays small."""
     for batch in batches:
         for i in range(0, max(batch.num_rows, 1), ARROW_ROWS):
             yield batch.slice(i, ARROW_ROWS)
@@ -89,6 +100,15 @@ class Scratch:
         self.paths = []
 
 
+#: Ids of 64 bits that are broadcast at most.
+BROADCAST_IDS = 1 << 20
+
+
+def among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` is one of ``ids`` (written, one column of that name); so many at most are broadcast."""
+    return df.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, column, "left_semi")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, starts and ends of an Arrow string or binary column, or a slice of one; a null has length zero."""
     if isinstance(column, pa.ChunkedArray):

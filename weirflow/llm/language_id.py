@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import free_name, sliced, utf8
+from weirflow.llm.common import free_name, sliced, tune, utf8
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -185,6 +185,7 @@ def train_language_id(labelled: DataFrame, text: str = "text", lang: str = "lang
 
 def identify_language(docs: DataFrame, model: ByteCNN | None, text: str = "text", *, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """All columns and rows of ``docs`` with the predicted language and its probability."""
+    tune(docs.sparkSession)
     kept = docs.drop(*(c for c in docs.columns if c.lower() in (lang_col.lower(), score_col.lower())))
     (letter,) = free_name(kept, "has_letter")
     kept = kept.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import sliced
+from weirflow.llm.common import sliced, tune
 
 PIECE = 64
 #: Letters of six bits each.
@@ -192,6 +192,7 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
     Edited: the last n // ``share`` code points give way to the first as many (or all) of the next text.  ``edit_from``
     and ``edit_to`` are the bytes of the text that hold all differing branches (null if none differs).
     """
+    tune(docs.sparkSession)
     rows = with_next(docs, key, text)
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),

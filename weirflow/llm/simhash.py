@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, free_name, sliced, utf8
+from weirflow.llm.common import Scratch, free_name, sliced, tune, utf8
 
 BITS = 64
 SEED = 42
@@ -72,6 +72,7 @@ def fingerprint(raw: bytes, words: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", *, words: int = 4, name: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (by default all) and the fingerprint as a signed long."""
+    tune(docs.sparkSession)
     keep = [c for c in docs.columns if c.lower() != name.lower()] if keep is None else keep
     source = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField(name, T.LongType(), False)])

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, sliced
+from weirflow.llm.common import Scratch, sliced, tune
 
 #: The public pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -232,6 +232,7 @@ def build_trees(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
 
     ``vocabulary`` is the path of a file of ranks on the driver; it goes to executors with the tasks.
     """
+    tune(docs.sparkSession)
     ranks = _ranks(docs, vocabulary)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("text", T.StringType()), T.StructField("chars", _LONGS), T.StructField("tokens", _LONGS), T.StructField("n_pretokens", T.LongType())])
 
@@ -247,6 +248,7 @@ def build_trees(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str
 
 def edit_trees(trees: DataFrame, edits: str, vocabulary: str, *, keep: list[str]) -> DataFrame:
     """The columns ``keep``, and text, chars and tokens after the edits in the column ``edits`` of the same row, with n_reencoded."""
+    tune(trees.sparkSession)
     ranks = _ranks(trees, vocabulary)
     schema = T.StructType([*trees.select(*keep).schema.fields, T.StructField("text", T.StringType()), T.StructField("chars", _LONGS), T.StructField("tokens", _LONGS), T.StructField("n_reencoded", T.LongType())])
 
