@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, sliced, utf8
+from weirflow.llm.common import Scratch, sliced, tune, utf8
 
 #: Bytes hashed at once; positions within must fit in the low bits of a key.
 SEGMENT = 1 << 21
@@ -356,6 +356,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
     Removed is each byte covered by a ``span``-byte string that also starts anywhere else in the table.
     """
+    tune(docs.sparkSession)
     if not gram <= report <= span:
         raise ValueError("an anchor lies in a reported repeat, and that in a removed one")
     scratch = Scratch(docs.sparkSession)
@@ -365,7 +366,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     found = scratch.write(_anchor_rows(rows.where(long), gram, report))
     # places are told apart by a 64-bit hash here, so that counts combine before the shuffle
     place = F.xxhash64("d", "place")
-    often = found.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h")
+    # written, so that the join below reads plain exchanges, whose hot partitions Spark splits
+    often = scratch.write(found.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("h"))
     again = found.join(often, "h").groupBy("d").agg(F.collect_set(F.struct("h", "place")).alias("found"))
     copies = rows.where(long).groupBy("d").agg(F.count("*").alias("copies"), F.min("k").alias("k"))
     chosen = again.join(copies, "d").select(F.col("k").alias("k2"), F.col("d").alias("d2"), "found")
