@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import decontaminate, language_id, mixing, queries as operators, sharding, shingles
-from weirflow.llm.common import Scratch
+from weirflow.llm.common import Scratch, free_name, released
 
 #: A text goes if it has no letter, or if no language reaches this probability.
 MIN_SCORE = 0.3
@@ -23,8 +23,9 @@ SHINGLE_WORDS = 5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language identifier rejects."""
     model = language_id.train_language_id(docs.where(~operators.held_out() & F.col("doc_id").isNotNull()))
-    judged = language_id.identify_language(docs, model, lang_col="_lang_pred", score_col="_lang_score")
-    return judged.where((F.col("_lang_pred") != language_id.UNKNOWN) & (F.col("_lang_score") >= MIN_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang_pred", "lang_score")
+    judged = language_id.identify_language(docs, model, lang_col=lang, score_col=score)
+    return judged.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and thins documents to the target shares of their sources."""
-    return mixing.mix(docs, operators.MIX_WEIGHTS, other=operators.OTHER_WEIGHT, by_text=True).select(*docs.columns)
+    copy, copies = free_name(docs, "copy", "n_copies")
+    return mixing.mix(docs, operators.MIX_WEIGHTS, other=operators.OTHER_WEIGHT, copy_col=copy, copies_col=copies).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,11 +62,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written to shared storage and read again by the next."""
+    """All stages over documents; each stage's result is written to shared storage and read again by the next.
+
+    What a stage has written for itself, and what it has read, goes as soon as its result is there.
+    """
     scratch = Scratch(spark)
     docs = operators.documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+        with released():
+            result = scratch.write(stage(spark, docs, sf_dir))
+        if scratch.paths[:-1]:
+            scratch.drop(docs)
+        docs = result
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
