@@ -147,8 +147,10 @@ def test_a_running_table_needs_its_fold(spark, tmp_path):
 SEVERAL = Agg.several(n=Agg.count(), total=Agg.sum(), low=Agg.min(), high=Agg.max(), mean=Agg.avg(), last=Agg.latest(), each=Agg.collect())
 
 
-@pytest.mark.parametrize("window", [None, TimeWindow(100), TimeWindow(100, 50), SessionWindow(100)])
-@pytest.mark.parametrize("initial", [None, {"total": 10, "low": -5, "each": [9]}])
+INITIAL = {"total": 10, "low": -5, "each": [9]}
+
+
+@pytest.mark.parametrize(("window", "initial"), [(None, None), (None, INITIAL), (TimeWindow(100, 50), None), (SessionWindow(100), INITIAL)])
 def test_each_update_of_built_in_aggregates(spark, tmp_path, window, initial):
     feed = Feed(spark, tmp_path / "in").put(("k", 1, 10), ("k", 2, 60), ("j", 7, 70)).put(("k", 3, 130), ("k", None, 140)).put(("k", 4, 500), ("k", 0, 510))
     topology = table_of(Table(lambda k, v: k, SEVERAL, window, initial=initial))
