@@ -3,9 +3,11 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+import xxhash
 from llm_texts import prose
 
 from weirflow.llm import shingles, simhash
+from weirflow.llm.common import Scratch
 
 
 def slow_set(text, k=5):
@@ -79,6 +81,30 @@ def test_similarity_of_exactly_the_least(spark):
     assert shingles.near_duplicates(docs, least=28 / 36).select("root").distinct().count() == 1
 
 
+def test_first_links_are_those_of_the_fingerprints(spark, copies):
+    rows = shingles.with_node(spark.createDataFrame(copies, "doc_id long, text string"), "text", words=5, name="fp", keep=["doc_id"], buckets=True)
+    got = {(r["doc_id"], r["fp"]): r["print"] for r in rows.collect()}
+    bits = lambda grams: sum(1 << b for b in range(64) if 2 * sum(g >> b & 1 for g in grams) > len(grams))
+    want = {}
+    for _, t in copies:
+        hashes = {xxhash.xxh64_intdigest(s, shingles.SEED) for s in slow_set(t)}
+        want[shingles.node(np.array(sorted(hashes), np.uint64))] = bits(hashes)
+    assert {k[1] % 2**64: p % 2**64 for k, p in got.items()} == want
+    pairs = shingles.first_candidates(rows, Scratch(spark), 4).collect()
+    near = {(a, b) for a in want for b in want if a != b and (want[a] ^ want[b]).bit_count() <= 4}
+    linked = {frozenset((r["a"] % 2**64, r["b"] % 2**64)) for r in pairs}
+    root = {a: a for a in want}
+    for _ in want:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert linked and all(root[min(p)] == root[max(p)] for p in linked)
+    other = {a: a for a in want}
+    for _ in want:
+        for p in linked:
+            other[min(p)] = other[max(p)] = min(other[min(p)], other[max(p)])
+    assert {a: min(x for x in want if root[x] == root[a]) for a in want} == {a: min(x for x in want if other[x] == other[a]) for a in want}
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(5)
     for n in (1, 50, 3000):

@@ -1,22 +1,27 @@
-"""Near-duplicates by the exact similarity of word shingles.
+"""Near-duplicates by SimHash links, and by what they miss of the exact similarity of word shingles.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of shingles (``words`` words, ASCII lower-cased,
 split at ASCII white space) is ``least`` or more; chains of them form a component.
 
-Candidates: BANDS bands of ROWS MinHash values each; two texts that agree in a band share a bucket.  A pair of
-similarity 0.8 shares none with probability (1 - 0.8**4)**20 = 0.00003, more similar ones more rarely.  A parity
-sketch has a bit for each of PARITY values of a hash: whether an odd number of shingles have it.  Two sketches differ in
-as many bits as shingles are in one set only, or fewer; pairs that differ in more than ``least`` allows are no candidates.
+First links: SimHash fingerprints of the sets, joined by the trie self-join of ``simhash`` within its budget of
+differing bits, and equal ones.  Each is held against the whole shingle sets, so no link is below ``least``.
 
-Links: every candidate is held against the whole shingle sets, so no link is below ``least``.  Two rounds link texts
-with one text of their buckets, the closest by the sketch, and contract; then all pairs that share a bucket but not a
-component are compared.  So a large group costs a comparison or two a member, unless it has many pairs just short of
-``least``.
+What fingerprints miss: two sets of similarity 0.8 differ in 9.7 of 64 bits on average, and in more than 4 in 98 of 100
+cases; a budget that loses one in a thousand would be 19 bits, within which one in a thousand of all pairs of unrelated
+texts lies.  So the rest of the candidates comes from BANDS bands of ROWS MinHash values each: two texts that agree in a
+band share a bucket.  A pair of similarity 0.8 shares none with probability (1 - 0.8**4)**20 = 0.00003, more similar ones
+more rarely.  A parity sketch has a bit for each of PARITY values of a hash: whether an odd number of shingles have it.
+Two sketches differ in as many bits as shingles are in one set only, or fewer; pairs that differ in more than ``least``
+allows are no candidates.  Two rounds link texts with one text of their buckets, the closest by the sketch, check and
+contract; then all pairs that share a bucket but not a component are compared.  So a large group costs a comparison or
+two a member, unless it has many pairs just short of ``least``.
 
-Hot groups: texts of one shingle set are one node; a task emits each set once.
+Hot groups: texts of one shingle set are one node; a task emits each set once.  Sets that no pair needs are left out
+before any shuffle as long as the pairs' nodes are few enough to be broadcast, in the shuffle beyond that.
 
 Defined cases: null, empty and blank texts have the empty set and are copies of one another; fewer words than a shingle
-make one shingle of them all; an empty table gives no rows.
+make one shingle of them all; a very long text is one set; repeated rows are copies; null and repeated keys join nothing
+by themselves; other columns, whatever their names, have no effect; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import Scratch, free_name, sliced, utf8
-from weirflow.llm.simhash import contract, keep_least
+from weirflow.llm.common import Scratch, among, free_name, sliced, tune, utf8
+from weirflow.llm.simhash import contract, keep_least, trie_links
 
 SEED = 42
 BANDS = 20
@@ -80,6 +85,14 @@ def buckets_of(grams: np.ndarray) -> np.ndarray:
     return bucket
 
 
+def print_of(grams: np.ndarray) -> int:
+    """The unsigned SimHash fingerprint of a set: bits that more than half of its shingles have."""
+    held = np.zeros(64, np.int64)
+    for i in range(0, len(grams), 1 << 16):
+        held += np.unpackbits(grams[i : i + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * held > len(grams)).tobytes(), "big")
+
+
 def parity(grams: np.ndarray) -> np.ndarray:
     """The parity sketch, as signed longs."""
     odd = np.bincount((grams % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
@@ -95,19 +108,21 @@ SIG = T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(f"s{i}"
 
 
 def with_node(docs: DataFrame, text: str, *, words: int, name: str, keep: list[str], buckets: bool = False) -> DataFrame:
-    """The columns ``keep`` and the text's node; with ``buckets`` also sig and buckets."""
+    """The columns ``keep`` and the text's node; with ``buckets`` also print (the fingerprint), sig and buckets."""
+    tune(docs.sparkSession)
     source = docs.select(*dict.fromkeys([*keep, text]))
-    more = [T.StructField("sig", SIG), T.StructField("buckets", T.ArrayType(T.LongType()))] if buckets else []
+    more = [T.StructField("print", T.LongType()), T.StructField("sig", SIG), T.StructField("buckets", T.ArrayType(T.LongType()))] if buckets else []
     schema = T.StructType([*source.select(*keep).schema.fields, T.StructField(name, T.LongType()), *more])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data, starts, ends = utf8(batch.column(batch.schema.get_field_index(text)))
-            nodes, sizes, sigs, places = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            nodes, prints, sizes, sigs, places = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
                 grams = shingle_set(data[a:b].tobytes(), words)
                 nodes.append(node(grams))
                 if buckets:
+                    prints.append(print_of(grams))
                     sizes.append(len(grams))
                     sigs.append(parity(grams))
                     places.append(buckets_of(grams))
@@ -116,7 +131,7 @@ def with_node(docs: DataFrame, text: str, *, words: int, name: str, keep: list[s
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS)
                 parts = np.concatenate(sigs).reshape(-1, PARITY // 64)
                 sig = pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), *(pa.array(parts[:, i].copy()) for i in range(PARITY // 64))], names=SIG.names)
-                columns += [sig, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).view(np.int64)))]
+                columns += [_signed(prints), sig, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(places).view(np.int64)))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return source.mapInArrow(apply, schema)
@@ -153,47 +168,64 @@ def _close(least: float) -> Column:
     return _far() <= (F.col("sig.n") + F.col("sig2.n")) * ((1 - least) / (1 + least)) + 1e-6
 
 
-def similar(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have that similarity."""
-    both = pairs.join(grams.toDF("a", "grams_a"), "a").join(grams.toDF("b", "grams_b"), "b")
+def similar(pairs: DataFrame, grams: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b), which are written, whose sets have that similarity; only sets of a pair move."""
+    own = among(grams, "fp", scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()))
+    both = pairs.join(own.toDF("a", "grams_a"), "a").join(own.toDF("b", "grams_b"), "b")
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
     return both.where(shared + 1e-6 >= least * (F.size("grams_a") + F.size("grams_b") - shared)).select("a", "b")  # 0.8 * 35 > 28
 
 
-def links(docs: DataFrame, rows: DataFrame, text: str, scratch: Scratch, *, words: int, least: float) -> DataFrame:
-    """(node, root) of every node that has a link; ``rows``: fp, sig and buckets of each text."""
+def first_candidates(rows: DataFrame, scratch: Scratch, budget: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are equal, or linked by the trie self-join: one for each node or link."""
+    own = scratch.write(rows.groupBy("print").agg(F.min("fp").alias("fp")))
+    met = scratch.write(trie_links(own.select(F.col("print").alias("fp")), budget))
+    apart = met.join(own.toDF("a", "fp_a"), "a").join(own.toDF("b", "fp_b"), "b").select("fp_a", "fp_b")
+    equal = rows.select("print", "fp").distinct().join(own.toDF("print", "fp_b"), "print").where("fp <> fp_b").select("fp", "fp_b")
+    return apart.union(equal).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, rows: DataFrame, text: str, scratch: Scratch, *, words: int, least: float, budget: int) -> DataFrame:
+    """(node, root) of every node that has a link; ``rows``: fp, print, sig and buckets of each text."""
+    first = scratch.write(first_candidates(rows, scratch, budget))
     places = rows.select("fp", F.explode("buckets").alias("bucket")).distinct()
     shared = places.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("bucket")
     held = scratch.write(places.join(shared, "bucket").join(rows.select("fp", "sig").distinct(), "fp").select("bucket", "fp", "sig"))
-    wanted = scratch.write(held.select("fp").distinct())
-    grams = scratch.write(sets(docs, text, words).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
-    rooted = held.withColumn("root", F.col("fp"))
-    found: list[DataFrame] = []
+    wanted = scratch.write(held.select("fp").union(first.select("a")).union(first.select("b")).distinct())
+    grams = scratch.write(among(sets(docs, text, words), "fp", wanted).dropDuplicates(["fp"]))
+    found = [scratch.write(similar(first, grams, least, scratch))]
+
+    def rooted() -> tuple[DataFrame, DataFrame]:
+        roots = scratch.write(contract(reduce(DataFrame.union, found), scratch))
+        return roots, held.join(roots, held["fp"] == roots["node"], "left").select("bucket", "fp", "sig", F.coalesce("root", "fp").alias("root"))
+
+    roots, members = rooted()
     for step in range(3):
-        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("root", "fp", "sig")).alias("head")).where("low <> high").select("bucket", "head")
+        # the first round's head is the least node, the same one for as many buckets as can be, so that few stars share a group
+        order = ["root", "fp", "sig"] if step else ["fp", "root", "sig"]
+        mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(*order)).alias("head")).where("low <> high").select("bucket", "head")
         if step < 2:
             heads = scratch.write(mixed.select("bucket", F.col("head.root").alias("root2"), F.col("head.fp").alias("fp2"), F.col("head.sig").alias("sig2")))
-            star = rooted.join(heads, "bucket").where((F.col("root") != F.col("root2")) & _close(least))
+            star = members.join(heads, "bucket").where((F.col("root") != F.col("root2")) & _close(least))
             by = ["root", "root2"] if step else ["fp"]
             best = star.groupBy(*by).agg(F.min(F.struct(_far().alias("far"), F.col("fp").alias("a"), F.col("fp2").alias("b"))).alias("best"))
             pairs = best.select("best.a", "best.b")
         else:
-            open_ = scratch.write(rooted.join(mixed.select("bucket"), "bucket"))
+            open_ = scratch.write(members.join(mixed.select("bucket"), "bucket"))
             most = scratch.write(open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("most")))
             few = scratch.write(open_.join(most, "bucket").where(F.col("root") != F.col("most")).toDF("bucket", "fp2", "sig2", "root2", "most"))
             other = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("most")) | (F.col("fp") < F.col("fp2")))
             pairs = open_.join(few, "bucket").where(other & _close(least)).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
-        found.append(scratch.write(similar(scratch.write(pairs), grams, least)))
-        roots = scratch.write(contract(reduce(DataFrame.union, found), scratch))
-        rooted = held.join(roots, held["fp"] == roots["node"], "left").select("bucket", "fp", "sig", F.coalesce("root", "fp").alias("root"))
+        found.append(scratch.write(similar(scratch.write(pairs), grams, least, scratch)))
+        roots, members = rooted()
     return roots
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, least: float = 0.8, budget: int = 4) -> DataFrame:
     """key, fp (the node of the row's shingle set) and root (one node of its component)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write(with_node(docs, text, words=words, name="fp", keep=[key], buckets=True))
-    roots = links(docs, rows, text, scratch, words=words, least=least)
+    roots = links(docs, rows, text, scratch, words=words, least=least, budget=budget)
     fps = rows.select(key, "fp")
     return fps.join(roots, fps["fp"] == roots["node"], "left").select(key, "fp", F.coalesce("root", "fp").alias("root"))
 
