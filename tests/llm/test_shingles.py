@@ -105,6 +105,44 @@ def test_first_links_are_those_of_the_fingerprints(spark, copies):
     assert {a: min(x for x in want if root[x] == root[a]) for a in want} == {a: min(x for x in want if other[x] == other[a]) for a in want}
 
 
+def test_a_large_group_is_linked_by_its_middle(spark, monkeypatch):
+    """Few of the many similar pairs of one group are left for the last comparison."""
+    rng = random.Random(6)
+    base = prose(rng, 400)
+    texts = [base, *(edited(rng, base, rng.randint(1, 8)) for _ in range(150))]
+    sets = [slow_set(t) for t in texts]
+    near = sum(similarity(sets[i], sets[j]) >= 0.8 for i in range(len(sets)) for j in range(i))
+    compared = []
+    similar = shingles.similar
+    monkeypatch.setattr(shingles, "similar", lambda pairs, *rest: compared.append(pairs.count()) or similar(pairs, *rest))
+    got = shingles.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert got.select("root").distinct().count() == len(set(components(sets)))
+    assert near > 1000
+    assert compared[-1] < 0.02 * near
+
+
+def test_more_rounds_give_the_same(spark, copies, monkeypatch):
+    monkeypatch.setattr(shingles, "REST", 0)
+    monkeypatch.setattr(shingles, "GAIN", 0)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(copies)], "doc_id long, text string")
+    label = components([slow_set(t) for _, t in copies])
+    groups = {}
+    for r in shingles.near_duplicates(docs).collect():
+        groups.setdefault(r["root"], set()).add(label[r["doc_id"]])
+    assert sorted(map(len, groups.values())) == [1] * len(set(label))
+
+
+def test_open_pairs_come_once_and_whole(spark, copies):
+    rows = shingles.with_node(spark.createDataFrame(copies, "doc_id long, text string"), "text", words=5, name="fp", keep=["doc_id"], buckets=True)
+    members = rows.selectExpr("explode(buckets) as bucket", "fp", "sig", "1L as met", "pmod(fp, 4) as root").distinct()
+    got = [(r["a"], r["b"]) for r in shingles.open_pairs(members, shingles.heads(members, None, None), 0.8, Scratch(spark)).collect()]
+    nodes = {r["fp"]: (set(r["buckets"]), r["sig"]) for r in rows.collect()}
+    far = lambda x, y: sum(((u ^ v) & 2**64 - 1).bit_count() for u, v in zip(x[1:], y[1:], strict=True))
+    close = lambda x, y: far(x, y) <= (x["n"] + y["n"]) / 9 + 1e-6
+    want = [(a, b) for a in nodes for b in nodes if a < b and a % 4 != b % 4 and nodes[a][0] & nodes[b][0] and close(nodes[a][1], nodes[b][1])]
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
 def test_parity_never_exceeds_the_difference():
     rng = np.random.default_rng(5)
     for n in (1, 50, 3000):

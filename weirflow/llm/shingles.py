@@ -12,9 +12,14 @@ texts lies.  So the rest of the candidates comes from BANDS bands of ROWS MinHas
 band share a bucket.  A pair of similarity 0.8 shares none with probability (1 - 0.8**4)**20 = 0.00003, more similar ones
 more rarely.  A parity sketch has a bit for each of PARITY values of a hash: whether an odd number of shingles have it.
 Two sketches differ in as many bits as shingles are in one set only, or fewer; pairs that differ in more than ``least``
-allows are no candidates.  Two rounds link texts with one text of their buckets, the closest by the sketch, check and
-contract; then all pairs that share a bucket but not a component are compared.  So a large group costs a comparison or
-two a member, unless it has many pairs just short of ``least``.
+allows are no candidates.
+
+Rounds: each bucket has a head, the node that meets the most others in its buckets, as the middle of a group of edited
+copies does.  Every text is compared with the heads of its buckets, linked with the closest by the sketch, checked and
+contracted.  A later round's head is the one of those that are in no earlier head's component.  Rounds go on as long as
+buckets have many such texts and a round leaves notably fewer.  Then all pairs that share a bucket but not a component are
+compared, each pair in one of its buckets.  So a large group costs a comparison or two a member, and beyond that those
+pairs whose sketches allow ``least`` while no link to a head has joined them.
 
 Hot groups: texts of one shingle set are one node; a task emits each set once.  Sets that no pair needs are left out
 before any shuffle as long as the pairs' nodes are few enough to be broadcast, in the shuffle beyond that.
@@ -185,40 +190,67 @@ def first_candidates(rows: DataFrame, scratch: Scratch, budget: int) -> DataFram
     return apart.union(equal).select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
 
 
+#: Rounds of heads go on while buckets have, by their texts, more than REST texts on average in no head's component, and
+#: a round leaves this share fewer.
+REST, GAIN = 16, 1 / 16
+
+
+def heads(members: DataFrame, roots: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """(bucket, n, rest, head) of buckets of several components: texts, those in the component of no head in ``tried``, and the most met of these."""
+    seen = members.withColumn("seen", F.lit(None).cast("boolean"))
+    if tried is not None:
+        known = tried.join(roots, tried["fp"] == roots["node"], "left").select("bucket", F.coalesce("root", "fp").alias("root")).distinct()
+        seen = members.join(known.withColumn("seen", F.lit(True)), ["bucket", "root"], "left")
+    rest = F.col("seen").isNull()
+    head = F.min(F.when(rest, F.struct((-F.col("met")).alias("met"), "fp", "sig", "root"))).alias("head")
+    out = seen.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(rest).alias("rest"), head, F.min("root").alias("low"), F.max("root").alias("high"))
+    return out.where("low <> high").select("bucket", "n", "rest", "head")
+
+
+def open_pairs(members: DataFrame, mixed: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b), each once: all pairs of a bucket in ``mixed`` but of two components whose sketches allow ``least``."""
+    within = scratch.write(members.join(mixed.select("bucket"), "bucket").select("bucket", "fp", "sig", "root"))
+    # two texts of two components have only buckets of several components in common: their least one makes the pair
+    open_ = scratch.write(within.join(within.groupBy("fp").agg(F.collect_list("bucket").alias("own")), "fp"))
+    scratch.drop(within)
+    most = scratch.write(open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("most")))
+    few = scratch.write(open_.join(most, "bucket").where(F.col("root") != F.col("most")).select("bucket", F.col("fp").alias("fp2"), F.col("sig").alias("sig2"), F.col("root").alias("root2"), "most", F.col("own").alias("own2")))
+    other = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("most")) | (F.col("fp") < F.col("fp2")))
+    once = F.array_min(F.array_intersect("own", "own2")) == F.col("bucket")
+    return open_.join(few, "bucket").where(other & _close(least) & once).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
+
+
 def links(docs: DataFrame, rows: DataFrame, text: str, scratch: Scratch, *, words: int, least: float, budget: int) -> DataFrame:
     """(node, root) of every node that has a link; ``rows``: fp, print, sig and buckets of each text."""
     first = scratch.write(first_candidates(rows, scratch, budget))
     places = rows.select("fp", F.explode("buckets").alias("bucket")).distinct()
-    shared = places.groupBy("bucket").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("bucket")
-    held = scratch.write(places.join(shared, "bucket").join(rows.select("fp", "sig").distinct(), "fp").select("bucket", "fp", "sig"))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    own = places.join(shared, "bucket").groupBy("fp").agg(F.collect_list("bucket").alias("own"), F.sum("n").alias("met"))
+    held = scratch.write(own.join(rows.select("fp", "sig").distinct(), "fp").select(F.explode("own").alias("bucket"), "fp", "sig", "met"))
     wanted = scratch.write(held.select("fp").union(first.select("a")).union(first.select("b")).distinct())
     grams = scratch.write(among(sets(docs, text, words), "fp", wanted).dropDuplicates(["fp"]))
     found = [scratch.write(similar(first, grams, least, scratch))]
 
     def rooted() -> tuple[DataFrame, DataFrame]:
         roots = scratch.write(contract(reduce(DataFrame.union, found), scratch))
-        return roots, held.join(roots, held["fp"] == roots["node"], "left").select("bucket", "fp", "sig", F.coalesce("root", "fp").alias("root"))
+        return roots, held.join(roots, held["fp"] == roots["node"], "left").select("bucket", "fp", "sig", "met", F.coalesce("root", "fp").alias("root"))
 
     roots, members = rooted()
-    for step in range(3):
-        # the first round's head is the least node, the same one for as many buckets as can be, so that few stars share a group
-        order = ["root", "fp", "sig"] if step else ["fp", "root", "sig"]
-        mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(*order)).alias("head")).where("low <> high").select("bucket", "head")
-        if step < 2:
-            heads = scratch.write(mixed.select("bucket", F.col("head.root").alias("root2"), F.col("head.fp").alias("fp2"), F.col("head.sig").alias("sig2")))
-            star = members.join(heads, "bucket").where((F.col("root") != F.col("root2")) & _close(least))
-            by = ["root", "root2"] if step else ["fp"]
-            best = star.groupBy(*by).agg(F.min(F.struct(_far().alias("far"), F.col("fp").alias("a"), F.col("fp2").alias("b"))).alias("best"))
-            pairs = best.select("best.a", "best.b")
-        else:
-            open_ = scratch.write(members.join(mixed.select("bucket"), "bucket"))
-            most = scratch.write(open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("most")))
-            few = scratch.write(open_.join(most, "bucket").where(F.col("root") != F.col("most")).toDF("bucket", "fp2", "sig2", "root2", "most"))
-            other = (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("most")) | (F.col("fp") < F.col("fp2")))
-            pairs = open_.join(few, "bucket").where(other & _close(least)).select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
-        found.append(scratch.write(similar(scratch.write(pairs), grams, least, scratch)))
+    tried, before = None, 0
+    while True:
+        mixed = scratch.write(heads(members, roots, tried))
+        work, texts = mixed.agg(F.sum(F.col("n") * F.col("rest")), F.sum("n")).first()
+        if not work or tried is not None and (work <= REST * texts or work > before * (1 - GAIN)):
+            break
+        star = members.join(mixed.where("rest > 0").select("bucket", F.col("head.root").alias("root2"), F.col("head.fp").alias("fp2"), F.col("head.sig").alias("sig2")), "bucket")
+        by = ["fp"] if tried is None else ["root", "root2"]
+        best = star.where((F.col("root") != F.col("root2")) & _close(least)).groupBy(*by).agg(F.min(F.struct(_far().alias("far"), F.col("fp").alias("a"), F.col("fp2").alias("b"))).alias("best"))
+        found.append(scratch.write(similar(scratch.write(best.select("best.a", "best.b")), grams, least, scratch)))
+        new = mixed.where("rest > 0").select("bucket", F.col("head.fp").alias("fp"))
+        tried, before = new if tried is None else tried.union(new), work
         roots, members = rooted()
-    return roots
+    found.append(scratch.write(similar(scratch.write(open_pairs(members, mixed, least, scratch)), grams, least, scratch)))
+    return rooted()[0]
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = 5, least: float = 0.8, budget: int = 4) -> DataFrame:
