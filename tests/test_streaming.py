@@ -11,6 +11,7 @@ from weirflow.plans.model import Agg, GlobalTable, Join, JoinWindow, SessionWind
 from weirflow.plans.workflow import dedupe_entities, with_dedupe
 from weirflow.queries import chain, joined, stream_of, table_of
 from weirflow.sources.io import stream_topic
+from weirflow.streaming import stateful
 from weirflow.streaming.compile import StreamTable, compile_streams
 
 
@@ -265,3 +266,92 @@ def test_eager_join_forgets_what_the_watermark_has_passed(spark, tmp_path):
     plan.await_all()
     assert ("k" in {r["key"] for r in spark.read.parquet(str(tmp_path / "out" / "out")).collect()})
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+
+
+@pytest.mark.parametrize("ttl_ms", [None, 3_600_000])
+def test_keys_and_windows_share_groups_of_state(spark, tmp_path, monkeypatch, ttl_ms):
+    monkeypatch.setattr(stateful, "BUCKETS", 4, raising=False)
+    monkeypatch.setattr(stateful, "SLOT", 1000, raising=False)  # so that each batch splits slots
+    feed = Feed(spark, tmp_path / "in")
+    for batch in range(3):
+        feed.put(*((f"k{i % (100 * batch + 100)}", i, batch * 300 + i) for i in range(300)))
+    topology = table_of(Table(lambda k, v: k, SEVERAL, TimeWindow(1000)))
+    plan = compile_streams(topology, {"in": feed.stream()}, ttl_ms=ttl_ms)
+    (query,) = plan.start(str(tmp_path / "out"), str(tmp_path / "ck"), once=True)
+    plan.await_all()
+    assert timed(spark.read.parquet(str(tmp_path / "out" / "out"))) == timed(run(topology, {"in": feed.batch()})["out"])
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] < 300 / 2  # of 300 keys
+
+
+class Slots(dict):
+    """The map state of a bucket, and how often it was asked and how much was written."""
+
+    def __init__(self):
+        self.calls, self.written, self.now = 0, 0, 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getValue(self, i):
+        self.calls += 1
+        return self.get(i)
+
+    def updateValue(self, i, row):
+        self.calls, self.written = self.calls + 1, self.written + len(row[0])
+        self[i] = row
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def bucket(slots, ttl_ms=None):
+    """A running sum over the keys of one bucket, a call a batch."""
+    import pandas as pd
+
+    def step(state, side, v):
+        return (state or 0) + v, [(state or 0) + v]
+
+    keyed = stateful._Keyed(step, ttl_ms)
+    keyed.init(slots)
+
+    def put(*records):
+        frame = pd.DataFrame([(k, 0, f'{{"v":{v}}}', us, 0) for k, v, us in records], columns=["k", "side", "j", "us", "seq"])
+        return [(r.k, r.j) for df in keyed.handleInputRows((0,), iter([frame]), slots) for r in df.itertuples()]
+
+    return put
+
+
+def test_a_batch_handles_the_slots_of_its_keys_only():
+    slots = Slots()
+    put = bucket(slots)
+    for begin in range(0, 20_000, 5_000):
+        put(*((f"key {i}", i, i) for i in range(begin, begin + 5_000)))
+    assert slots.calls < 1_000  # of 20,000 keys
+    slots.calls = slots.written = 0
+    assert put(("key 7", 1, 1), ("key 7", 1, 0)) == [("key 7", '{"v":8}'), ("key 7", '{"v":9}')]
+    assert slots.calls <= 4 and slots.written < 3 * stateful.SLOT
+    assert sorted(put(*((f"key {i}", 0, i) for i in range(0, 20_000, 11)))) == sorted((f"key {i}", f'{{"v":{i}}}') for i in range(0, 20_000, 11))
+
+
+def test_silent_keys_go_from_slots_that_others_keep():
+    slots = Slots()
+    put = bucket(slots, 100)
+    put(("a", 1, 0), ("b", 2, 0))
+    slots.now = 60
+    put(("b", 3, 0))
+    slots.now = 100
+    assert put(("a", 5, 0), ("b", 5, 0)) == [("a", '{"v":5}'), ("b", '{"v":10}')]
+
+
+def test_keys_that_went_split_no_slots():
+    slots = Slots()
+    put = bucket(slots, 100)
+    for slots.now in range(0, 40_000, 200):
+        put(*((f"key {slots.now + i}", 1, i) for i in range(200)))
+    assert len(slots) <= 10
+
+
+def test_rows_without_time_come_first_as_in_batch(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in").put(("k", 2, 50), ("k", 1, 0), ("k", 4, None))
+    topology = table_of(Table(lambda k, v: k, Agg.sum()))
+    assert timed(streamed(spark, topology, {"in": feed.stream()}, tmp_path)) == timed(run(topology, {"in": feed.batch()})["out"])

@@ -160,10 +160,8 @@ def _each(name: str, df: DataFrame, table: Table, tables: Mapping[str, StreamTab
         rows = time_windows(rows, w).select(F.struct("key", "win").alias("key"), "value", "ts", "seq")
         return stateful.running(rows, fold.init, fold.add, fold.type, ttl_ms).select("key.key", "value", "ts", "seq", "key.win")
     kind = type_of(agg, rows.schema["_x"].dataType)
-    rows = rows.withColumn("value", F.col("_x"))
-    if isinstance(w, SessionWindow):
-        return stateful.windowed(rows.select("key", "value", "ts", "seq"), agg, kind, gap=w.gap, initial=table.initial, ttl_ms=ttl_ms)
-    return stateful.windowed(time_windows(rows, w).select("key", "value", "ts", "seq", "win"), agg, kind, initial=table.initial, ttl_ms=ttl_ms)
+    rows = rows.withColumn("value", F.col("_x")).select("key", "value", "ts", "seq")
+    return stateful.windowed(rows, agg, kind, w, initial=table.initial, ttl_ms=ttl_ms)
 
 
 def _two(left: tuple[str, DataFrame], right: tuple[str, DataFrame], join: Join, fits: bool, ttl_ms: int | None) -> tuple[str, DataFrame]:

@@ -2,21 +2,30 @@
 
 Each is a processor for transformWithStateInPandas over rows of key, ts, seq and values as JSON text,
 so that any value type fits one state schema.  A batch's rows of a key are handled in order of ts and seq.
+
+Spark hands over, and fetches state for, one group at a time, which costs far more than a row.  So keys without timers share
+groups: a key's hash gives its bucket, which is the group, and its slot there, one text with the state of some keys.  A
+bucket's slots double when they hold more than ``SLOT`` characters on average, so a batch reads and writes the slots of
+its keys and nothing that grows with the number of others.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from weirflow.plans.model import Aggregation
+from weirflow.operators.windows import time_windows
+from weirflow.plans.model import Aggregation, SessionWindow, TimeWindow
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _TEXT = T.StructType([T.StructField("v", T.StringType())])
@@ -32,38 +41,102 @@ def _value(text: str | None) -> Any:
     return None if text is None or text is pd.NA or text != text else json.loads(text)["v"]
 
 
+BUCKETS = 4096  # a checkpoint's state is where this number puts it: another one needs a new checkpoint
+SLOT = 8192
+_NUMBER = T.StructType([T.StructField("i", T.IntegerType())])
+_HEAD = -1  # the slot that holds how often the slots doubled, and the keys and characters in them
+_dumps = json.JSONEncoder(separators=(",", ":")).encode
+_NEVER = -(10**17)  # a null ts, before all that Spark has; it comes first, as in batch
+
+
 class _Keyed(StatefulProcessor):
-    """One text of state for each key; ``step`` maps (state, side, value) to (state, output rows).
+    """State for each key, by buckets of keys; ``step`` maps (state, side, value) to (state, output rows).
 
     With ``ttl_ms`` the state of a key that gets no row for so long, in processing time, is dropped.
     """
 
     def __init__(self, step: Callable[[Any, int, Any], tuple[Any, list[Any]]], ttl_ms: int | None = None) -> None:
-        self.step, self.ttl_ms = step, ttl_ms
+        self.step, self.ttl_ms, self.slot = step, ttl_ms, SLOT
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", _TEXT, self.ttl_ms)
+        self.slots = handle.getMapState("slots", _NUMBER, _TEXT, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        state = json.loads(held[0]) if held else None
-        frame = pd.concat(list(rows)).sort_values(["ts", "side", "seq"], kind="stable")
-        out = []
-        for side, text, ts, seq in zip(frame["side"], frame["j"], frame["ts"], frame["seq"], strict=True):
-            state, made = self._next(state, int(side), text, ts, int(seq))
-            out += [(key[0], json.dumps({"v": v}), ts, int(seq)) for v in made]
-        self.state.update((json.dumps(state),))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "j", "ts", "seq"])
-
-    def _next(self, state: Any, side: int, text: str | None, ts: pd.Timestamp, seq: int) -> tuple[Any, list[Any]]:
+        self.now = timerValues.getCurrentProcessingTimeInMs() if self.ttl_ms else 0
+        frame = pd.concat(list(rows))
+        order = np.lexsort([frame[c].to_numpy() for c in ("seq", "side", "us")])
+        columns = [frame[c].to_numpy()[order].tolist() for c in ("k", "side", "j", "us", "seq")]
+        depth, n, chars = self._get(_HEAD)[0] or (0, 0, 0)
+        held: dict[int, dict[str, list[Any]]] = defaultdict(dict)
+        of = {k: self._slot(k, depth) for k in dict.fromkeys(columns[0])}
+        for i in set(of.values()) if n else ():
+            held[i], had, length = self._read(i)
+            n, chars = n - had, chars - length
+        states = {k: held[i][k][0] for k, i in of.items() if k in held[i]}
+        out: tuple[list, ...] = ([], [], [], [])
+        for k, side, text, us, seq in zip(*columns, strict=True):
+            states[k], made = self._next(states.get(k), side, text, us, seq)
+            for v in made:
+                for column, x in zip(out, (k, _dumps({"v": v}), us, seq), strict=True):
+                    column.append(x)
+        for k, i in of.items():
+            if states[k] is not None:
+                held[i][k] = [states[k], self.now] if self.ttl_ms else [states[k]]
+        self._keep(held, depth, n, chars)
+        if out[0]:
+            yield pd.DataFrame(dict(zip(("k", "j", "us", "seq"), out, strict=True)))
+
+    def _next(self, state: Any, side: int, text: str | None, us: int, seq: int) -> tuple[Any, list[Any]]:
         return self.step(state, side, _value(text))
 
+    def _slot(self, k: str, depth: int) -> int:
+        return zlib.crc32(k.encode()) & (1 << depth) - 1
+
+    def _get(self, i: int) -> tuple[Any, int]:
+        """What a slot holds, and its characters."""
+        row = self.slots.getValue((i,))
+        return (json.loads(row[0]), len(row[0])) if row else (None, 0)
+
+    def _put(self, i: int, text: str) -> None:
+        self.slots.updateValue((i,), (text,))
+
+    def _read(self, i: int) -> tuple[dict[str, list[Any]], int, int]:
+        """The keys of a slot whose time isn't over, and how many keys and characters it has."""
+        found, length = self._get(i)
+        found = found or {}
+        live = {k: e for k, e in found.items() if e[1] + self.ttl_ms > self.now} if self.ttl_ms else found
+        return live, len(found), length
+
+    def _keep(self, held: dict[int, dict[str, list[Any]]], depth: int, n: int, chars: int) -> None:
+        """Writes a batch's slots; ``n`` and ``chars`` are what the others have, and all are split where it is too much."""
+        texts = {i: _dumps(e) for i, e in held.items()}
+        n, chars = n + sum(map(len, held.values())), chars + sum(map(len, texts.values()))
+        deeper, limit = depth, self.slot
+        if self.ttl_ms and chars > limit << depth and n > 1 << depth:  # whole slots may have gone: count anew
+            others = [self._read(i)[1:] for i in range(1 << depth) if i not in held]
+            n = sum(map(len, held.values())) + sum(x for x, _ in others)
+            chars = sum(map(len, texts.values())) + sum(x for _, x in others)
+            limit //= 2  # so that counts which stay near the limit aren't made in each batch
+        while chars > limit << deeper and n > 1 << deeper:
+            deeper += 1
+        for i in range(1 << depth) if deeper > depth else ():
+            parts: dict[int, dict[str, list[Any]]] = defaultdict(dict, {i: {}})
+            for k, e in (held[i] if i in held else self._read(i)[0]).items():
+                parts[self._slot(k, deeper)][k] = e
+            texts[i] = _dumps(parts.pop(i))
+            for other, part in parts.items():
+                self._put(other, _dumps(part))
+            self._put(i, texts.pop(i))
+        for i, text in texts.items():
+            self._put(i, text)
+        self._put(_HEAD, _dumps([deeper, n, chars]))
+
     def close(self) -> None:
         pass
 
 
 OUT = T.StructType([T.StructField("k", T.StringType()), T.StructField("j", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType())])
+MADE = T.StructType([T.StructField("k", T.StringType()), T.StructField("j", T.StringType()), T.StructField("us", T.LongType()), T.StructField("seq", T.LongType())])
 
 
 def _typed(df: DataFrame, key: T.DataType, value: T.DataType) -> DataFrame:
@@ -73,8 +146,11 @@ def _typed(df: DataFrame, key: T.DataType, value: T.DataType) -> DataFrame:
     return df.select(k.alias("key"), v.alias("value"), "ts", "seq")
 
 
-def _with_state(rows: DataFrame, processor: StatefulProcessor, ttl_ms: int | None) -> DataFrame:
-    return rows.groupBy("k").transformWithStateInPandas(processor, OUT, "append", "processingTime" if ttl_ms else "none")
+def _with_state(rows: DataFrame, processor: _Keyed, ttl_ms: int | None) -> DataFrame:
+    us = F.coalesce(F.unix_micros("ts"), F.lit(_NEVER))
+    dealt = rows.select(F.pmod(F.xxhash64("k"), F.lit(BUCKETS)).alias("bucket"), "k", "side", "j", us.alias("us"), "seq")
+    out = dealt.groupBy("bucket").transformWithStateInPandas(processor, MADE, "append", "processingTime" if ttl_ms else "none")
+    return out.select("k", "j", F.when(F.col("us") != _NEVER, F.timestamp_micros("us")).alias("ts"), "seq")
 
 
 def keyed(rows: DataFrame, step: Callable[[Any, int, Any], tuple[Any, list[Any]]], key: T.DataType, value: T.DataType, ttl_ms: int | None = None) -> DataFrame:
@@ -132,36 +208,40 @@ class Fold:
 
 
 class _Windows(_Keyed):
-    """Windowed aggregates of a key, a row for each row that comes.  ``gap``: sessions, which merge; else the key has one window."""
+    """Windowed aggregates of a key, a row for each row that comes.  ``gap``: sessions, which merge; else a key has one window."""
 
     def __init__(self, fold: Fold, gap: int | None, ttl_ms: int | None) -> None:
         super().__init__(None, ttl_ms)
         self.fold, self.gap = fold, gap
 
-    def _next(self, state: Any, side: int, text: str | None, ts: pd.Timestamp, seq: int) -> tuple[Any, list[Any]]:
-        ms = int(ts.value // 1_000_000)
+    def _next(self, state: Any, side: int, text: str | None, us: int, seq: int) -> tuple[Any, list[Any]]:
+        ms = us // 1000
+        if self.gap is None:
+            part = self.fold.one(_value(text), ms, seq)
+            held = part if state is None else self.fold.merge(state, part)
+            return held, [{"x": self.fold.value(held)}]
         first, last, held, rest = ms, ms, self.fold.one(_value(text), ms, seq), []
         for a, b, other in state or ():
-            if self.gap is None or a - self.gap <= last and first <= b + self.gap:
+            if a - self.gap <= last and first <= b + self.gap:
                 first, last, held = min(first, a), max(last, b), self.fold.merge(other, held)
             else:
                 rest.append([a, b, other])
         return [*rest, [first, last, held]], [{"x": self.fold.value(held), "first": first, "last": last}]
 
 
-def windowed(rows: DataFrame, agg: Aggregation, value: T.DataType, *, gap: int | None = None, initial: Any = None, ttl_ms: int | None = None) -> DataFrame:
-    """A windowed aggregate's value after each row (key, value, ts, seq and, without ``gap``, win).
+def windowed(rows: DataFrame, agg: Aggregation, value: T.DataType, window: TimeWindow | SessionWindow, *, initial: Any = None, ttl_ms: int | None = None) -> DataFrame:
+    """A windowed aggregate's value after each row, as key, value, ts, seq and win.
 
     A session's window is as far as it is known when the row comes.
     """
-    of = rows if gap is not None else rows.withColumn("key", F.struct("key", "win"))
+    gap = window.gap if isinstance(window, SessionWindow) else None
+    of = rows if gap is not None else time_windows(rows, window).withColumn("key", F.struct("key", F.unix_millis("win.start").alias("start")))
     out = _with_state(as_json(of), _Windows(Fold(agg, initial), gap, ttl_ms), ttl_ms)
     told = T.StructType([T.StructField("x", value), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     out = _typed(out, of.schema["key"].dataType, told)
-    if gap is None:
-        return out.select("key.key", F.col("value.x").alias("value"), "ts", "seq", "key.win")
-    win = F.struct(F.timestamp_millis("value.first").alias("start"), F.timestamp_millis(F.col("value.last") + gap).alias("end"))
-    return out.select("key", F.col("value.x").alias("value"), "ts", "seq", win.alias("win"))
+    first, end = ("key.start", F.col("key.start") + window.size) if gap is None else ("value.first", F.col("value.last") + gap)
+    win = F.struct(F.timestamp_millis(first).alias("start"), F.timestamp_millis(end).alias("end"))
+    return out.select("key.key" if gap is None else "key", F.col("value.x").alias("value"), "ts", "seq", win.alias("win"))
 
 
 def totals(rows: DataFrame, agg: Aggregation, value: T.DataType, *, initial: Any = None, ttl_ms: int | None = None) -> DataFrame:
